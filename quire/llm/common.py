@@ -14,16 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage by a checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one spark.checkpoint.dir names.
 
-    Only where spark.checkpoint.dir is unset (a single machine, as in tests) is a folder chosen here.
+    Only where that is unset (a single machine, as in tests) is a folder chosen here.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and cut from its lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -298,11 +298,12 @@ def near_duplicates(
 
     named = made.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
     out = named.join(group, F.col("rep") == F.col("node"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select(
         "doc_id",
         "n_shingles",
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "rep", "doc_id"), F.lit(True)).alias("kept"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
 
