@@ -1,16 +1,16 @@
 """Mixing sources to target weights by soft membership. DataFrame functions only.
 
 1. Classifier. Labelled documents (at most `train_rows`, those with the smallest hash of doc_id) are read as sets of
-   hashed words and of hashed word shapes (letters, capitals, digits and signs), 8,192 buckets in all. One
-   aggregate counts, per bucket and domain, the documents that hold it; a bucket whose share in a domain differs from
-   the base domain's by `least_z` standard errors gets its log ratio as weight. Posteriors are the normalised
-   exponentials of prior plus weights of the buckets that a document holds. The weights are arrays of fixed size.
+   hashed words and of levels of the share of odd words (capitals, signs, digits). One aggregate counts, per feature and
+   domain, the documents that hold it. A feature speaks for a domain if its share there is above the base domain's by
+   `least_z` standard errors and by a factor of `least_ratio`; the `most_features` best of them are the domain's model (Bernoulli: presence
+   and absence count). Posteriors are the normalised exponentials of prior and evidence.
 2. Rates. Every document d gets a rate r_d >= 0, the expected number of its copies, such that the expected token
-   totals of the domains, sum over d of r_d * tokens_d * posterior_dk, match the targets. From r = 1, scaled
-   projected-gradient steps on half the squared error move all rates along the posteriors: r_d = max(0, 1 - p_d . m),
-   where the K numbers m gather the steps. A step is one aggregate over all documents, of K totals and K * K products
-   that scale it; only those numbers reach the driver. It stops when the totals are within `tolerance` of the
-   targets' sum, or after `most_steps`.
+   totals of the domains, sum over d of r_d * tokens_d * posterior_dk, match the targets, with the least squared
+   change from r = 1. Gradient steps move all rates along the posteriors and project them on r >= 0:
+   r_d = max(0, 1 - p_d . m), where the K numbers m gather the steps. A step is one aggregate over all documents, of K
+   totals (the gradient), K * K products that scale it and the objective that bounds its length; only those numbers
+   reach the driver. It stops when the totals are within `tolerance` of the targets' sum, or after `most_steps`.
 3. Copies: floor(r + u) with u a hash of the document's id.
 
 Targets are weights per domain; the grand total is such that the `anchor` domain keeps its expected tokens.
@@ -18,7 +18,7 @@ Targets are weights per domain; the grand total is such that the `anchor` domain
 Rows: a null or empty text has no tokens, the prior as posterior and a rate like others. Documents without a label are
 scored like those with one; labels of missing documents are ignored. A null doc_id is hashed like a value. Repeated rows
 are documents each. Other columns pass through; ones named like a result column are replaced. Without labelled rows every
-posterior is even. An empty table gives an empty result.
+posterior is even; a domain without any has no posterior and no target. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-BUCKETS = 8192
 #: The query's production parameters: domains by label, and the share of tokens each is to have.
 DOMAINS = ("clean", "junk", "toxic")
-WEIGHTS = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
+WEIGHTS = {"clean": 0.97, "junk": 0.01, "toxic": 0.02}
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -46,53 +45,75 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
-def buckets_of(text: Column) -> Column:
-    """The distinct buckets of a text's words and word shapes."""
-    shape = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}{2,}", "^")
-    shape = F.regexp_replace(F.regexp_replace(shape, r"\p{L}+", "a"), r"\p{N}+", "9")
-    both = F.concat(
-        F.transform(words_of(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", " ")), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS // 2))),
-        F.transform(words_of(shape), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS // 2)) + BUCKETS // 2),
-    )
-    return F.array_distinct(both)
+#: Levels, in hundredths, of the share of odd words in a text.
+LEVELS = (1, 2, 5, 10, 20, 35, 50, 70, 90)
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], train_rows: int, least_z: float) -> tuple[list[float], list[list[float]]]:
-    """Log priors, and per domain but the first the buckets' weights against the first."""
+def plain_words_of(text: Column) -> Column:
+    """A text's words without case and signs."""
+    return words_of(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", " "))
+
+
+def levels_of(text: Column) -> Column:
+    """The levels that the share of odd words in a text reaches, as features (` odd 50`; no word holds a space)."""
+    words = words_of(text)
+    odd = F.size(F.filter(words, lambda w: ~w.rlike(r"^\p{L}\p{Ll}*[.,]?$")))
+    share = F.struct((odd * 100).alias("odd"), F.greatest(F.size(words), F.lit(1)).alias("all"))
+    levels = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(f" odd {k}").alias("f")) for k in LEVELS))
+    # the outer transform makes the share a value, which the levels then only compare with
+    reached = F.transform(F.array(share), lambda s: F.filter(levels, lambda x: s["odd"] >= x["k"] * s["all"]))
+    return F.transform(F.flatten(reached), lambda x: x["f"])
+
+
+def train(
+    docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], train_rows: int, least_z: float, least_ratio: float, most_features: int
+) -> list[tuple[float, dict[str, float]]]:
+    """Per domain but the first, against the first: the log-odds of none of its features, and what each one adds."""
     picked = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(train_rows)  # the model's documented bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("domain", buckets_of(F.col("text")).alias("b"))
-    # -1 counts the documents themselves
-    seen = rows.select("domain", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "b")).alias("b"))
-    counts = seen.groupBy("b", "domain").agg(F.count("*").alias("n")).collect()  # at most 8,193 rows a domain
-    n = {(r["b"], r["domain"]): r["n"] for r in counts}
-    size = [n.get((-1, d), 0) for d in domains]
-    priors = [math.log((s + 1) / (sum(size) + len(domains))) for s in size]
-    weights = []
-    for k, d in enumerate(domains[1:], 1):
-        row = [0.0] * BUCKETS
-        for b in range(BUCKETS):
-            x, y = n.get((b, d), 0), n.get((b, domains[0]), 0)
-            p, q = (x + 0.5) / (size[k] + 1), (y + 0.5) / (size[0] + 1)
-            deviation = math.sqrt(p * (1 - min(p, 1)) / (size[k] + 1) + q * (1 - min(q, 1)) / (size[0] + 1) + 1e-12)
-            if size[k] and size[0] and abs(p - q) >= least_z * deviation and x + y >= 5:
-                row[b] = math.log(p / q)
-        weights.append(row)
-    return priors, weights
-
-
-def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], text_col: str = "text") -> DataFrame:
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # the empty feature counts the documents themselves
+    held = F.concat(F.array(F.lit("")), F.array_distinct(plain_words_of(F.col("text"))), levels_of(F.col("text")))
+    seen = rows.select("domain", F.explode(held).alias("f"))
+    counts = seen.groupBy("f").agg(*(F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)))
+    counts = stored(counts.where("n0 + " + " + ".join(f"n{k}" for k in range(1, len(domains))) + "  >= 5 or f = ''"))
+    sizes = counts.where("f = ''").first()
+    size = [sizes[f"n{k}"] if sizes else 0 for k in range(len(domains))]
+    out = []
+    for k in range(1, len(domains)):
+        p, q = (F.col(f"n{k}") + 0.5) / (size[k] + 1), (F.col("n0") + 0.5) / (size[0] + 1)
+        error = F.sqrt(p * (1 - p) / (size[k] + 1) + q * (1 - q) / (size[0] + 1))
+        told = counts.where("f <> ''").select("f", p.alias("p"), q.alias("q"), error.alias("e"))
+        told = told.where((F.col("p") - F.col("q") >= least_z * F.col("e")) & (F.col("p") >= least_ratio * F.col("q")))
+        best = told.orderBy(((F.col("q") - F.col("p")) * F.ln(F.col("p") / F.col("q"))), "f").limit(most_features)
+        # a domain without labelled documents has no posterior, unless no domain has any
+        base, weights = math.log((size[k] + 1) / (size[0] + 1)) if size[k] or not any(size) else -700.0, {}
+        for r in best.collect() if size[k] and size[0] else ():
+            absent = math.log((1 - r["p"]) / (1 - r["q"]))
+            weights[r["f"]] = math.log(r["p"] / r["q"]) - absent
+            base += absent
+        out.append((base, weights))
+    return out
+
+
+def posteriors(docs: DataFrame, model: list[tuple[float, dict[str, float]]], text_col: str = "text") -> DataFrame:
     """docs with `posterior`, an array of one probability per domain, and `tokens`."""
-    priors, weights = model
-    docs = docs.withColumns({"_b": buckets_of(F.col(text_col)), "tokens": F.size(words_of(F.col(text_col))).cast("long")})
-
-    def gathered(known: Column) -> Column:
-        return F.aggregate("_b", F.lit(0.0), lambda s, b: s + F.get(known, b.cast("int")))
-
-    logs = [F.lit(0.0), *(gathered(F.lit(row)) + (priors[k] - priors[0]) for k, row in enumerate(weights, 1))]
+    every = sorted({f for _, weights in model for f in weights})
+    # a document holds few of the model's words: only these are looked up
+    known = F.array(*map(F.lit, every)) if every else F.expr("cast(array() as array<string>)")
+    held = F.concat(F.array_intersect(plain_words_of(F.col(text_col)), known), levels_of(F.col(text_col)))
+    docs = docs.withColumns({"_f": F.coalesce(held, F.expr("cast(array() as array<string>)")), "tokens": F.size(words_of(F.col(text_col))).cast("long")})
+
+    def gathered(weights: dict[str, float]) -> Column:
+        if not weights:
+            return F.lit(0.0)
+        known = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+        return F.aggregate("_f", F.lit(0.0), lambda s, f: s + F.coalesce(F.try_element_at(known, f), F.lit(0.0)))
+
+    logs = [F.lit(0.0), *(gathered(weights) + base for base, weights in model)]
     docs = docs.withColumn("_z", F.array(*logs)).withColumn("_z", F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))))
     total = F.aggregate("_z", F.lit(0.0), lambda s, z: s + z)
-    return docs.withColumn("posterior", F.transform("_z", lambda z: z / total)).drop("_b", "_z")
+    return docs.withColumn("posterior", F.transform("_z", lambda z: z / total)).drop("_f", "_z")
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -119,57 +140,77 @@ def fit_rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, floa
     n = len(domains)
     p, t = F.col("posterior"), F.col("tokens")
 
-    def sums(moved: list[float]) -> tuple[list[float], list[list[float]]]:
+    def sums(moved: list[float]) -> tuple[list[float], list[list[float]], float]:
         r = rate(p, moved)
         totals = [F.sum(t * r * p[k]) for k in range(n)]
         products = [F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i in range(n) for j in range(n)]
-        got = [float(x or 0) for x in docs.agg(*totals, *products).first()]
-        return got[:n], [got[n + i * n : n + (i + 1) * n] for i in range(n)]
+        got = [float(x or 0) for x in docs.agg(F.sum(t * r * r / 2), *totals, *products).first()]
+        return got[1 : n + 1], [got[n + 1 + i * n : n + 1 + (i + 1) * n] for i in range(n)], got[0]
 
     moved, scale = [0.0] * n, 1.0
-    totals, gram = sums(moved)
+    totals, gram, half = sums(moved)
     grand = totals[domains.index(anchor)] / weights[anchor]
-    target = [weights[d] * grand for d in domains]
-    error = sum((a - b) ** 2 for a, b in zip(totals, target, strict=True))
+    # what has next to no tokens at any rates cannot be brought to a target
+    target = [weights[d] * grand if s > 1e-12 * grand else s for d, s in zip(domains, totals, strict=True)]
+    value = half  # the dual objective: half the squared rates plus moved . target, convex in moved
     for _ in range(most_steps):
-        if grand <= 0 or max(abs(a - b) for a, b in zip(totals, target, strict=True)) <= tolerance * grand or scale < 1e-3:
+        error = [a - b for a, b in zip(totals, target, strict=True)]
+        if grand <= 0 or max(map(abs, error)) <= tolerance * grand or scale < 1e-6:
             break
-        step = _solve(gram, [a - b for a, b in zip(totals, target, strict=True)])
+        step = _solve(gram, error)
         tried = [m + scale * s for m, s in zip(moved, step, strict=True)]
-        now, products = sums(tried)
-        e = sum((a - b) ** 2 for a, b in zip(now, target, strict=True))
-        if e < error:
-            moved, totals, gram, error, scale = tried, now, products, e, min(1.0, 2 * scale)
+        now, products, half = sums(tried)
+        v = half + sum(m * x for m, x in zip(tried, target, strict=True))
+        if v <= value - 1e-4 * scale * sum(e * s for e, s in zip(error, step, strict=True)):
+            still = max(abs(a - b) for a, b in zip(now, totals, strict=True)) <= 1e-9 * grand
+            moved, totals, gram, value, scale = tried, now, products, v, min(1.0, 4 * scale)
+            if still:  # as near as non-negative rates come to targets that they cannot meet
+                break
         else:
-            scale /= 2
+            scale /= 4
     return moved
 
 
-def mix(
+def with_rates(
     docs: DataFrame,
-    labelled: DataFrame,
+    scored: DataFrame,
     weights: dict[str, float],
-    anchor: str,
-    train_rows: int = 20_000,
-    least_z: float = 5.0,
+    domains: tuple[str, ...],
     tolerance: float = 1e-4,
     most_steps: int = 40,
     seed: int = 7,
 ) -> DataFrame:
-    """docs with tokens, posterior, rate and copies."""
-    domains = tuple(weights)
-    domains = (anchor, *(d for d in domains if d != anchor))
-    model = train(docs, labelled, domains, train_rows, least_z)
-    scored = posteriors(docs.drop("tokens", "posterior", "rate", "copies"), model)
-    compact = stored(scored.select("tokens", "posterior"))
-    moved = fit_rates(compact, domains, weights, anchor, tolerance, most_steps)
+    """docs (with tokens and posterior) with rate and copies; scored: the same documents' (tokens, posterior), computed once."""
+    moved = fit_rates(scored, domains, weights, domains[0], tolerance, most_steps)
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    out = scored.withColumn("rate", rate(F.col("posterior"), moved))
+    out = docs.withColumn("rate", rate(F.col("posterior"), moved))
     return out.withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
 
 
+def classified(
+    docs: DataFrame,
+    labelled: DataFrame,
+    domains: tuple[str, ...],
+    train_rows: int = 20_000,
+    least_z: float = 4.0,
+    least_ratio: float = 3.0,
+    most_features: int = 64,
+) -> DataFrame:
+    """docs with tokens and posterior, one probability per domain; the first domain is the base."""
+    model = train(docs, labelled, domains, train_rows, least_z, least_ratio, most_features)
+    return posteriors(docs.drop("tokens", "posterior", "rate", "copies"), model)
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, **classifier) -> DataFrame:
+    """docs with tokens, posterior, rate and copies. Texts are classified twice rather than written once more."""
+    domains = (anchor, *(d for d in weights if d != anchor))
+    found = classified(docs, labelled, domains, **classifier)
+    return with_rates(found, stored(found.select("tokens", "posterior")), weights, domains)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    found = mix(docs, domain_of(table(spark, sf_dir, "labels")), WEIGHTS, "clean")
+    found = stored(classified(docs, domain_of(table(spark, sf_dir, "labels")), DOMAINS).drop("text"))
+    found = with_rates(found, found, WEIGHTS, DOMAINS)
     p = F.col("posterior")
     return found.select("doc_id", "source", "tokens", *(p[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", "copies")

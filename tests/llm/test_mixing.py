@@ -46,8 +46,9 @@ def test_rows(spark):
     got = m.mix(frame, m.domain_of(labels), m.WEIGHTS, "clean").collect()
     assert len(got) == len(docs) and all(r.rate >= 0 and abs(sum(r.posterior) - 1) < 1e-9 for r in got)
     assert {r.tokens for r in got if r.doc_id in (200, 201)} == {0}
-    plain, vile = (np.mean([r.rate for r in got if r.text == x]) for x in ("plain words of a text", "vile slur words"))
-    assert plain > 0.9 > 0.3 > vile
+    totals = sum(r.tokens * r.rate * np.array(r.posterior) for r in got)
+    assert np.isclose(totals[2] / totals[0], 0.02 / 0.97, rtol=1e-2) and totals[1] < 1e-9  # no junk was labelled
+    assert all(r.rate > 0.9 for r in got if r.text == "plain words of a text")
     even = m.mix(frame, m.domain_of(labels.limit(0)), m.WEIGHTS, "clean").collect()
     assert all(np.allclose(r.posterior, 1 / 3) for r in even)
     assert m.mix(spark.createDataFrame([], schema), m.domain_of(labels), m.WEIGHTS, "clean").collect() == []
