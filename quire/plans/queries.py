@@ -672,3 +672,120 @@ def region_cleared(spark, d):
 SELECT a.event_id, count(*) AS recent, count(*) > 3 AS "open" FROM c a JOIN c b ON b.user_id = a.user_id AND b.at BETWEEN a.at - 60 AND a.at GROUP BY a.event_id""")
 def crash_breaker(spark, d):
     return breaker(load(spark, d, "events"), "user_id").select("event_id", "recent", "open")
+
+
+# more of 2.1 to 2.8
+
+
+@query("SELECT unnest(['merge', 'split', 'rotate', 'reorder', 'compress', 'render']) AS operation, '0.1.0' AS version")
+def operation_list(spark, d):
+    from quire import __version__
+
+    names = F.array(*map(F.lit, ("merge", "split", "rotate", "reorder", "compress", "render")))
+    return spark.range(1).select(F.explode(names).alias("operation"), F.lit(__version__).alias("version"))
+
+
+@query("""WITH m AS (SELECT p_partkey, ['fetched', 'generated', 'committed', 'odd'][p_partkey % 4 + 1] AS kind, p_size % 2 = 0 AS named FROM part)
+SELECT 'e' || p_partkey AS name, unnest(CASE kind WHEN 'odd' THEN ['kind'] WHEN 'fetched' THEN CASE WHEN named THEN ['licence'] ELSE ['url', 'licence'] END
+  WHEN 'generated' THEN CASE WHEN named THEN CAST([] AS VARCHAR[]) ELSE ['generator'] END ELSE CASE WHEN named THEN CAST([] AS VARCHAR[]) ELSE ['path'] END END) AS problem FROM m""")
+def manifest_problems(spark, d):
+    from ..sources.documents import manifest_problems as problems
+
+    named = F.when(F.col("p_size") % 2 == 0, F.col("p_name"))
+    kind = F.get(F.array(*map(F.lit, ("fetched", "generated", "committed", "odd"))), (F.col("p_partkey") % 4).cast("int"))
+    rows = load(spark, d, "part").select(
+        F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("name"), kind.alias("kind"), named.alias("url"), F.col("p_name").alias("sha256"),
+        F.lit(" ").alias("licence"), named.alias("generator"), named.alias("path"),
+    )
+    return problems(rows)
+
+
+STATES = """st AS (SELECT o_custkey % 40 AS doc_id, o_orderkey AS page_no, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 5 + 1 END AS num,
+  CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_custkey % 3 + 1 END AS holder, 'G' || (o_orderkey % 4) AS name, 'G' || (o_custkey % 4) AS used FROM orders),
+pooled AS (SELECT *, CASE WHEN num <> 0 THEN 'own:' || num || ':0' WHEN holder <> 0 THEN 'holder:' || holder || ':0' ELSE 'page:' || page_no END AS pool FROM st)"""
+
+
+@query(f"""WITH {STATES} SELECT DISTINCT doc_id, pool, name FROM pooled p WHERE NOT EXISTS (SELECT 1 FROM pooled q WHERE q.doc_id = p.doc_id AND q.pool = p.pool AND q.used = p.name)""")
+def unused_pool_entries(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    zero = F.lit(0).cast("bigint")
+    st = load(spark, d, "orders").select(
+        (c % 40).alias("doc_id"), k.alias("page_no"), F.when(k % 3 != 0, k % 5 + 1).otherwise(zero).alias("num"), zero.alias("gen"),
+        F.when(k % 2 != 0, c % 3 + 1).otherwise(zero).alias("holder_num"), zero.alias("holder_gen"),
+        F.concat(F.lit("G"), k % 4).alias("name"), F.concat(F.lit("G"), c % 4).alias("used"),
+    )
+    pooled = trees.state_pools(st)
+    return trees.unused_pool_entries(pooled.select("doc_id", "page_no", "pool", "name"), st.select("doc_id", "page_no", F.col("used").alias("name")))
+
+
+@query(f"""WITH {GLYPHS}, {REGIONS}, cut AS (SELECT DISTINCT doc_id, page_no, glyph_ord FROM glyphs g JOIN regions r USING (doc_id, page_no) WHERE {HIT}),
+drawn AS (SELECT DISTINCT doc_id, font, code FROM glyphs WHERE (doc_id, page_no, glyph_ord) NOT IN (SELECT (doc_id, page_no, glyph_ord) FROM cut))
+SELECT DISTINCT doc_id, font, code, code + 32 AS maps_to FROM glyphs SEMI JOIN drawn USING (doc_id, font, code)""")
+def narrowed_fonts(spark, d):
+    all_ = glyphs(spark, d)
+    mappings = all_.select("doc_id", "font", "code", (F.col("code") + 32).alias("maps_to")).distinct()
+    return r.narrowed_fonts(mappings, r.codes_still_drawn(all_, r.selected_glyphs(all_, regions(spark, d))))
+
+
+@query(f"""WITH RECURSIVE {GLYPHS}, {REGIONS}, c AS (SELECT DISTINCT g.doc_id, g.glyph_ord AS node FROM glyphs g JOIN regions r USING (doc_id, page_no) WHERE {HIT}
+  UNION SELECT c.doc_id, (c.node * 3 + 1) % 12 FROM c) SELECT doc_id, node FROM c""")
+def removed_annotations(spark, d):
+    notes = glyphs(spark, d).withColumnRenamed("glyph_ord", "annotation")
+    gone = r.removed_annotations(notes, regions(spark, d))
+    every = gone.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(11).cast("bigint"))).alias("src"))
+    links = gone.select("doc_id", F.col("node").alias("src")).union(every).distinct().withColumn("dst", (F.col("src") * 3 + 1) % 12)
+    return trees.closure(gone, links)
+
+
+@query("""WITH a AS (SELECT o_orderkey AS doc_id, o_custkey % 5 AS page_no, CAST(600 AS DOUBLE) AS w FROM orders WHERE o_orderkey % 7 <> 0),
+b AS (SELECT o_orderkey AS doc_id, o_custkey % 5 AS page_no, 600 + (o_orderkey % 4) / 100.0 * 0.75 AS width, o_custkey % 100 AS x, o_orderkey % 100 AS y FROM orders WHERE o_orderkey % 9 <> 0)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page_no, b.page_no) AS page_no, CASE WHEN w IS NULL OR width IS NULL THEN 'page-count' ELSE 'size' END AS rule FROM a FULL JOIN b ON a.doc_id = b.doc_id
+  WHERE w IS NULL OR width IS NULL OR abs(w - width) > 0.01
+UNION ALL SELECT doc_id, page_no, 'text-in-region' FROM b WHERE x > 10.05 AND x < 39.95 AND y > 20.05 AND y < 59.95""")
+def second_reading(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = load(spark, d, "orders")
+    key = [k.alias("doc_id"), (c % 5).alias("page_no")]
+    first = orders.where(k % 7 != 0).select(*key, F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    kept = orders.where(k % 9 != 0)
+    second = kept.select(*key, (F.lit(600.0) + k % 4 / 100.0 * 0.75).alias("width"), F.lit(800.0).alias("height"))
+    origins = kept.select(*key, (c % 100).alias("x"), (k % 100).alias("y"))
+    places = kept.select(*key, g.rect(F.lit(10), F.lit(20), F.lit(40), F.lit(60)).alias("region"))
+    return v.second_reading(first, second, origins, places)
+
+
+@query("""WITH p AS (SELECT o_orderkey AS fixture, o_orderpriority AS channel, ['refused', 'gone', 'present'][o_custkey % 3 + 1] AS expect FROM orders),
+s AS (SELECT o_orderkey AS fixture, o_orderkey % 8 <> 0 AS before, o_custkey % 6 = 1 AS after, o_custkey % 9 IN (0, 3) AS refused FROM orders WHERE o_orderkey % 10 <> 0)
+SELECT fixture, channel, expect, CASE WHEN before IS NULL THEN 'not-observed' WHEN NOT before THEN 'never-there' WHEN seen = expect THEN 'held' ELSE 'was-' || seen END AS verdict
+FROM (SELECT p.*, before, CASE WHEN refused THEN 'refused' WHEN after THEN 'present' ELSE 'gone' END AS seen FROM p LEFT JOIN s USING (fixture)) q""")
+def corpus_audit(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = load(spark, d, "orders")
+    key = [k.alias("fixture"), F.col("o_orderpriority").alias("channel")]
+    expect = F.get(F.array(*map(F.lit, ("refused", "gone", "present"))), (c % 3).cast("int"))
+    seen = orders.where(k % 10 != 0).select(*key, (k % 8 != 0).alias("before"), (c % 6 == 1).alias("after"), (c % 9).isin(0, 3).alias("refused"))
+    return v.audit(orders.select(*key, expect.alias("expect")), seen)
+
+
+@query("""WITH r AS (SELECT DISTINCT 'r' || p_size AS rule FROM part), s AS (SELECT DISTINCT 'r' || (p_size * 2) AS rule FROM part)
+SELECT rule, 'not-probed' AS verdict FROM r WHERE rule NOT IN (FROM s) UNION ALL SELECT rule, 'unknown-rule' FROM s WHERE rule NOT IN (FROM r)""")
+def rule_coverage(spark, d):
+    part = load(spark, d, "part")
+    named = lambda x: F.concat(F.lit("r"), x.cast("string")).alias("rule")
+    return v.rule_coverage(part.select(named(F.col("p_size"))).distinct(), part.select(named(F.col("p_size") * 2)))
+
+
+@query(f"""WITH {GLYPHS} SELECT DISTINCT doc_id, page_no, glyph_ord, "left" - 2.5 AS "left", bottom - 2.5 AS bottom, greatest("right", "left" + 12) + 2.5 AS "right", greatest(top, bottom + 9) + 2.5 AS top FROM glyphs""")
+def glyph_boxes(spark, d):
+    x, y = F.col("left"), F.col("bottom")
+    stroke = g.stroke_reach(F.lit(1.0), F.lit(4.0), F.lit(True))
+    box = g.glyph_box(r.box_of(), g.rect(x, y, x + 12, y + 4), g.rect(x, y, x + 3, y + 9), stroke, F.lit(0.5))
+    return glyphs(spark, d).select("doc_id", "page_no", "glyph_ord", box.alias("b")).select("doc_id", "page_no", "glyph_ord", "b.*").distinct()
+
+
+@query("""WITH RECURSIVE f AS (SELECT DISTINCT 0 AS doc_id, s_suppkey % 15 AS src, (s_suppkey * 5 + 2) % 15 AS dst FROM supplier),
+c AS (SELECT DISTINCT src AS source, dst AS node FROM f WHERE src < 4 UNION SELECT c.source, f.dst FROM c JOIN f ON f.src = c.node) SELECT source, node FROM c""")
+def used_names(spark, d):
+    k = F.col("s_suppkey")
+    edges = load(spark, d, "supplier").select(F.lit(0).alias("doc_id"), (k % 15).alias("src"), ((k * 5 + 2) % 15).alias("dst")).distinct()
+    return trees.reach(edges.where("src < 4").select("doc_id", F.col("src").alias("node")).distinct(), edges).select("source", "node")
