@@ -31,18 +31,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored, table
-from .words import WordHash, mixed, shingle_words, window_hashes
+from .words import WordHash, mixed, shingle_words
 
 NO_ID = -(2**63)
 
 
-def half_keys(h: np.ndarray) -> list[int]:
+def half_keys(words: list[bytes]) -> list[int]:
     """Hashes of a line's first and last halves, as long as those of a partner of as many words, one more or one less."""
-    n, out = len(h), set()
+    n, out = len(words), set()
     for size in {n // 2, (n - 1) // 2}:
         if size:
-            out.add(int(window_hashes(h[:size], size)[0] ^ np.uint64(0x5BD1E995)))
-            out.add(int(window_hashes(h[n - size :], size)[0]))
+            out.add(xxhash.xxh64_intdigest(b" ".join(words[:size]), 2 * size))
+            out.add(xxhash.xxh64_intdigest(b" ".join(words[n - size :]), 2 * size + 1))
     return [k - 2**64 if k >= 2**63 else k for k in out]
 
 
@@ -74,7 +74,6 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 def _lines(least_words: int):
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
         for batch in batches:
             docs, numbers, digests, keys = [], [], [], []
             for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -82,7 +81,7 @@ def _lines(least_words: int):
                     if words := shingle_words(line):
                         docs.append(doc), numbers.append(k)
                         digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                        keys.append(half_keys(seen.of(words)) if len(words) >= least_words else [])
+                        keys.append(half_keys(words) if len(words) >= least_words else [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "line", "digest", "halves"],
