@@ -6,7 +6,7 @@ hashes; each document's windows of the same lengths are looked up at once, each
 every word inside an occurrence counts as hit. Documents are scanned where they lie, without a shuffle.
 
 The set is broadcast only up to `block_bytes` of benchmark text at a time. A larger benchmark is cut into blocks of
-items by their running size; each block is one scan, and the spans and items that the scans found are merged by document.
+items; each block is one more narrow pass that extends the spans and items found so far.
 
 Rows: a null or empty text has no words and is clean. A null item text has no window. A null item_id is the empty
 string. Items that share an item_id are one item. Columns besides the named ones are passed through untouched.
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .words import WordHash, benchmark_words, window_hashes
@@ -67,37 +68,44 @@ def _spans(hit: np.ndarray) -> list[list[int]]:
     return edge.reshape(-1, 2).tolist()
 
 
-def find_hits(docs: DataFrame, windows, id_col: str, text_col: str) -> DataFrame:
-    """Per row of docs: id, n_words, spans (first word, end) of hit words, the items whose windows occur."""
-    schema = pa.list_(pa.list_(pa.int32()))
+FACTS = ["n_words", "spans", "items"]
+
+
+def _scanned(docs: DataFrame, windows, text_col: str) -> DataFrame:
+    """docs with n_words, spans (first word, end) of hit words, and the items whose windows occur.
+
+    If docs has these columns from another block of the benchmark, they are extended.
+    """
+    again = all(f in docs.columns for f in FACTS)
+    kept = [c for c in docs.columns if c not in FACTS]
+    spans_type = pa.list_(pa.list_(pa.int32()))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = windows.value, WordHash()
         for batch in batches:
             counts, spans, items = [], [], []
-            for x in batch.column(1):
+            before = zip(*(batch.column(f).to_pylist() for f in FACTS[1:]), strict=True) if again else None
+            for x in batch.column(text_col):
                 words = benchmark_words(x.as_buffer().to_pybytes()) if x.is_valid else []
                 hit, who = scan(known, words, seen.of(words))
+                if before is not None:
+                    old_spans, old_items = next(before)
+                    who.update(old_items)
+                    for a, b in old_spans:
+                        hit[a:b] = True
                 counts.append(len(words)), spans.append(_spans(hit)), items.append(sorted(who))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, schema), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"],
-            )
+            facts = [pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *facts], [*kept, *FACTS])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(part, f"doc_id {kind}, n_words long, spans array<array<int>>, items array<string>")
-
-
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    width: int = 13,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    block_bytes: int = 16 << 20,
-) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, n_items, spans, items, contaminated), one per row of docs."""
+    fields = [docs.schema[c] for c in kept]
+    kinds = (T.LongType(), T.ArrayType(T.ArrayType(T.IntegerType())), T.ArrayType(T.StringType()))
+    return docs.select(*kept, *(FACTS if again else ())).mapInArrow(
+        part, T.StructType([*fields, *(T.StructField(f, k) for f, k in zip(FACTS, kinds, strict=True))])
+    )
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """docs with n_words, n_hit, n_items, spans, items and contaminated, one row per row of docs, where it lies."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
@@ -105,40 +113,28 @@ def contamination(
     if (total[1] or 0) > block_bytes:
         raise ValueError(f"a benchmark item is longer than block_bytes={block_bytes}")
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    found = None
+    docs = docs.drop(*FACTS, "n_hit", "n_items", "contaminated")
     for k in range(blocks):  # one block unless the benchmark is very large
         rows = [(r[0], r[1]) for r in items.where(part == k).collect()]
-        hits = find_hits(docs, spark.sparkContext.broadcast(windows_of(rows, width)), id_col, text_col)
-        found = hits if found is None else found.union(hits.where("size(items) > 0"))
-    if blocks > 1:  # spans of one document from several scans: merge them in order
-        found = found.groupBy("doc_id", "n_words").agg(
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        found = found.withColumn(
-            "spans",
-            F.expr(
-                "aggregate(spans, cast(array() as array<array<int>>), (a, s) -> if(size(a) > 0 and s[0] <= element_at(a, -1)[1],"
-                " concat(slice(a, 1, size(a) - 1), array(array(element_at(a, -1)[0], greatest(s[1], element_at(a, -1)[1])))),"
-                " concat(a, array(s))))"
-            ),
-        )
+        docs = _scanned(docs, spark.sparkContext.broadcast(windows_of(rows, width)), text_col)
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])")
-    return found.select(
-        "doc_id",
-        "n_words",
-        n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        "spans",
-        "items",
-        ((n_hit > 0) & (F.lit(SHARE) * n_hit >= F.col("n_words"))).alias("contaminated"),
+    return docs.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long")}).withColumn(
+        "contaminated", (F.col("n_hit") > 0) & (F.lit(SHARE) * F.col("n_hit") >= F.col("n_words"))
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows (doc_id, n_words, n_hit, n_items, spans, items, contaminated), one per row of docs."""
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = find_hits(picked, benchmark, **options)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "spans", "items", "contaminated")
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose text is contaminated. Needs non-null, unique doc_id only for the removed rows."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """docs without the rows whose text is contaminated. No shuffle; columns named like a fact keep their own values."""
+    clash = {c: f"_own_{c}" for c in docs.columns if c in (*FACTS, "n_hit", "n_items", "contaminated")}
+    found = find_hits(docs.withColumnsRenamed(clash), benchmark, **options).where("not contaminated")
+    return found.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
 
 
 def without_spans(text: str, spans: list[list[int]]) -> str:
@@ -154,20 +150,21 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs with every hit span cut out of its text; documents without a hit stay as they are."""
-    hits = contamination(docs, benchmark, **options).where("n_hit > 0").select("doc_id", "spans")
+    clash = {c: f"_own_{c}" for c in docs.columns if c in (*FACTS, "n_hit", "n_items", "contaminated")}
+    found = find_hits(docs.withColumnsRenamed(clash), benchmark, **options)
+    own = docs.columns
+    names = [clash.get(c, c) for c in own]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, s = batch.schema.get_field_index("text"), batch.schema.get_field_index("_spans")
             texts = [
                 without_spans(t, x) if x and t else t
-                for t, x in zip(batch.column(k).to_pylist(), batch.column(s).to_pylist(), strict=True)
+                for t, x in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
             ]
-            columns = [pa.array(texts, pa.string()) if i == k else batch.column(i) for i in range(batch.num_columns) if i != s]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "_spans"])
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, own)
 
-    both = docs.join(hits.distinct().withColumnRenamed("spans", "_spans"), "doc_id", "left")
-    return both.select(*docs.columns, "_spans").mapInArrow(part, docs.schema)
+    return found.select(*names, "spans").mapInArrow(part, docs.schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
