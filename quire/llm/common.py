@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,29 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+FILTER_BITS = 24
+
+
+def _bit_of(column: Column) -> tuple[Column, Column]:
+    h = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    return F.shiftright(h, 6), h.bitwiseAND(F.lit(63))
+
+
+def filtered(df: DataFrame, column: str, values: DataFrame, how: str = "left_semi") -> DataFrame:
+    """df's rows whose column may be among the first column of values (how `left_anti`: the rows for which it is not).
+
+    A bit map of 2^24 hashed bits, aggregated from values and broadcast as at most 262,144 words of 64 bits, whatever
+    the number of values. No row that belongs is lost; rows that do not belong may come along, the more the fuller it is.
+    """
+    word, bit = _bit_of(F.col(values.columns[0]))
+    mask = values.select(word.alias("_w"), F.expr("1L").alias("_one"), bit.cast("int").alias("_b"))
+    mask = mask.groupBy("_w").agg(F.bit_or(F.expr("shiftleft(_one, _b)")).alias("_mask"))
+    word, bit = _bit_of(F.col(column))
+    df = df.withColumns({"_word": word, "_bit": bit.cast("int")})
+    there = (F.col("_word") == F.col("_w")) & (F.expr("shiftright(_mask, _bit) & 1L") == 1)
+    return df.join(F.broadcast(mask), there, how).drop("_word", "_bit")
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key, from batches that are sorted by the keys. Holds one key's rows and one batch."""
     open_key, parts = None, []

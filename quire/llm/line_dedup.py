@@ -6,7 +6,8 @@ replaced). A line goes if an earlier one (by doc_id, then line number) is the sa
 
 1. Lines of equal words become one, kept at its earliest place (a partially aggregated minimum).
 2. A pair one word apart agrees in its first or its last half, so lines that share neither half with another line
-   have no partner; the deletion neighbourhoods are emitted for the others only. This filter loses no pair.
+   have no partner; the deletion neighbourhoods are emitted for the others only. This filter loses no pair. Filters like
+   this one are bit maps of a fixed size (`common.filtered`), so only rows that may matter are shuffled.
 3. Each line emits itself and its n variants of one deleted word as hashed keys (variant, position). Lines that share
    variant and position differ in one replaced word; a line that equals a variant lacks one word. So a minimum per
    (variant, position), per variant and of the whole lines names each line's earliest partner, without listing pairs,
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import filtered, stored, table
 from .words import WordHash, mixed, shingle_words
 
 NO_ID = -(2**63)
@@ -91,24 +92,23 @@ def _lines(least_words: int):
 
 
 def _neighbourhoods(least_words: int):
-    """From documents with the numbers of their wanted lines: (digest, words, variant hashes) of those lines."""
+    """From documents with the numbers of their wanted lines: (doc_id, line, words, variant hashes) of those lines."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
         for batch in batches:
-            digests, joined, keys = [], [], []
-            for x, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+            docs, numbers, joined, keys = [], [], [], []
+            for doc, x, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
                 lines = x.as_buffer().to_pybytes().split(b"\n")
                 for k in wanted:
                     words = shingle_words(lines[k]) if k < len(lines) else []
-                    if len(words) < least_words:
-                        continue
-                    text = b" ".join(words)
-                    digests.append(xxhash.xxh3_128_digest(text)), joined.append(text)
-                    keys.append(variants(seen.of(words)).view(np.int64))
+                    if len(words) >= least_words:
+                        docs.append(doc), numbers.append(k)
+                        joined.append(b" ".join(words))
+                        keys.append(variants(seen.of(words)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(joined, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["digest", "words", "variants"],
+                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(joined, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "line", "words", "variants"],
             )
 
     return part
@@ -117,7 +117,7 @@ def _neighbourhoods(least_words: int):
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         same = [within_one(a.split(), b.split()) for a, b in zip(batch.column("words").to_pylist(), batch.column("other").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("digest").filter(pa.array(same))], ["digest"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(same)) for c in ("doc_id", "line")], ["doc_id", "line"])
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
@@ -125,46 +125,52 @@ def duplicate_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     lines = stored(docs.mapInArrow(_lines(least_words), "doc_id long, line int, digest binary, halves array<long>"))
     place = F.struct("doc_id", "line")
-    distinct = stored(lines.groupBy("digest").agg(F.min(place).alias("first"), F.any_value("halves").alias("halves")))
-
-    halves = distinct.select("digest", "first", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    live = halves.join(shared, "half").select("digest", "first").distinct()
-    wanted = live.groupBy("first.doc_id").agg(F.collect_list("first.line").alias("wanted"))
-    texts = docs.where("text is not null").join(wanted, "doc_id")
-    around = stored(
-        texts.mapInArrow(_neighbourhoods(least_words), "digest binary, words binary, variants array<long>")
-        .join(live, "digest").select("digest", "first", "words", "variants").dropDuplicates(["digest"])
-    )
-
-    keys = around.select("digest", "first", F.posexplode("variants").alias("at", "variant"))
+    equal = lines.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    equal = stored(equal.select("digest", "first"))
+
+    halves = lines.select("doc_id", "line", "digest", F.explode("halves").alias("half"))
+    one = F.xxhash64("digest")
+    shared = halves.groupBy("half").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low < high").select("half")
+    live = filtered(halves, "half", shared).groupBy("digest").agg(F.min(place).alias("first"))
+    live = stored(live.select("digest", "first.doc_id", "first.line"))
+
+    wanted = live.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
+    texts = filtered(docs.where("text is not null"), "doc_id", live.select("doc_id")).join(wanted, "doc_id")
+    around = texts.mapInArrow(_neighbourhoods(least_words), "doc_id long, line int, words binary, variants array<long>")
+    around = stored(around.dropDuplicates(["doc_id", "line"]))
+
+    keys = around.select("doc_id", "line", F.posexplode("variants").alias("at", "variant"))
+    several = keys.groupBy("variant").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("variant")
+    keys = stored(filtered(keys, "variant", several))
+    keys = keys.select(place.alias("own"), "at", "variant")
     whole, cut = keys.where("at = 0"), keys.where("at > 0")
-    earliest = F.min(F.struct("first", "digest"))
-    by_place = cut.groupBy("variant", "at").agg(earliest.alias("e"))
-    replaced = cut.join(by_place, ["variant", "at"]).select("digest", "first", "e")
-    by_whole = whole.select("variant", F.struct("first", "digest").alias("e"))
-    shorter = cut.join(by_whole, "variant").select("digest", "first", "e")
-    by_variant = by_place.groupBy("variant").agg(F.min("e").alias("e"))
-    longer = whole.join(by_variant, "variant").select("digest", "first", "e")
-    partners = replaced.union(shorter).union(longer).where("e.first < first")
-    partners = partners.groupBy("digest").agg(F.collect_set("e.digest").alias("by"))  # at most two a variant
-    pairs = partners.select("digest", F.explode("by").alias("by"))
-    words = around.select("digest", "words")
-    others = words.select(F.col("digest").alias("by"), F.col("words").alias("other"))
-    near = pairs.join(words, "digest").join(others, "by").select("digest", "words", "other")
-    near = near.mapInArrow(_verified, "digest binary").distinct().withColumn("near", F.lit(True))
-
-    told = distinct.select("digest", "first").join(near, "digest", "left")
-    gone = lines.join(told, "digest").where((F.col("first") < place) | F.col("near"))
+    by_place = cut.groupBy("variant", "at").agg(F.min("own").alias("by"))
+    replaced = cut.join(by_place, ["variant", "at"]).select("own", "by")
+    by_whole = whole.groupBy("variant").agg(F.min("own").alias("by"))
+    shorter = cut.join(by_whole, "variant").select("own", "by")
+    by_variant = cut.groupBy("variant").agg(F.min("own").alias("by"))
+    longer = whole.join(by_variant, "variant").select("own", "by")
+    # at most two partners a variant, each the earliest of its kind
+    pairs = replaced.union(shorter).union(longer).where("by < own").distinct().select("own.*", F.col("by.doc_id").alias("d"), F.col("by.line").alias("l"))
+    words = around.select("doc_id", "line", "words")
+    others = words.select(F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("words").alias("other"))
+    near = pairs.join(words, ["doc_id", "line"]).join(others, ["d", "l"]).select("doc_id", "line", "words", "other")
+    near = near.mapInArrow(_verified, "doc_id long, line int").distinct().join(live, ["doc_id", "line"]).select("digest", F.lit(True).alias("near"))
+
+    told = stored(equal.join(near, "digest", "full_outer"))
+    gone = filtered(lines, "digest", told).join(told, "digest").where((F.col("first") < place) | F.col("near"))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """docs without their superfluous lines, with n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = duplicate_lines(docs, least_words).withColumnsRenamed({"doc_id": "_key", "lines": "_gone"})
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    both = docs.withColumn("_key", key).join(gone, "_key", "left").drop("_key")
+    gone = stored(duplicate_lines(docs, least_words)).withColumnsRenamed({"doc_id": "_key", "lines": "_gone"})
+    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    hit = filtered(docs, "_key", gone.select("_key")).join(gone, "_key", "left")
+    rest = filtered(docs, "_key", gone.select("_key"), "left_anti").withColumn("_gone", F.lit(None).cast("array<int>"))
+    docs = docs.drop("_key")
+    both = hit.drop("_key").unionByName(rest.drop("_key"))  # documents that lose nothing stay where they are
     fields = docs.schema.fields
     more = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
 
