@@ -101,8 +101,7 @@ def posteriors(docs: DataFrame, model: list[tuple[float, dict[str, float]]], tex
     every = sorted({f for _, weights in model for f in weights})
     # a document holds few of the model's words: only these are looked up
     known = F.array(*map(F.lit, every)) if every else F.expr("cast(array() as array<string>)")
-    held = F.concat(F.array_intersect(plain_words_of(F.col(text_col)), known), levels_of(F.col(text_col)))
-    docs = docs.withColumns({"_f": F.coalesce(held, F.expr("cast(array() as array<string>)")), "tokens": F.size(words_of(F.col(text_col))).cast("long")})
+    held = F.coalesce(F.concat(F.array_intersect(plain_words_of(F.col(text_col)), known), levels_of(F.col(text_col))), F.expr("cast(array() as array<string>)"))
 
     def gathered(weights: dict[str, float]) -> Column:
         if not weights:
@@ -110,10 +109,18 @@ def posteriors(docs: DataFrame, model: list[tuple[float, dict[str, float]]], tex
         known = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
         return F.aggregate("_f", F.lit(0.0), lambda s, f: s + F.coalesce(F.try_element_at(known, f), F.lit(0.0)))
 
+    def once(df: DataFrame, **columns: Column) -> DataFrame:
+        """df with columns that no later expression or pushed-down filter evaluates again: a generator of one row."""
+        made = df.withColumn("_once", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+        return made.withColumns({n: F.col(f"_once.{n}") for n in columns}).drop("_once")
+
+    docs = once(docs, _f=held, tokens=F.size(words_of(F.col(text_col))).cast("long"))
     logs = [F.lit(0.0), *(gathered(weights) + base for base, weights in model)]
-    docs = docs.withColumn("_z", F.array(*logs)).withColumn("_z", F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))))
-    total = F.aggregate("_z", F.lit(0.0), lambda s, z: s + z)
-    return docs.withColumn("posterior", F.transform("_z", lambda z: z / total)).drop("_f", "_z")
+    docs = once(docs, _z=F.array(*logs))
+    z = [F.col("_z")[k] for k in range(len(logs))]
+    powers = [F.exp(x - F.greatest(F.lit(0.0), *z)) for x in z]
+    total = sum(powers[1:], powers[0])
+    return docs.withColumn("posterior", F.array(*(x / total for x in powers))).drop("_f", "_z")
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
