@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_run, components, stored, table
+from .common import by_run, components, filtered, stored, table
 from .words import WordHash, shingle_words, shingles
 
 ORDERS, DEPTH, LEAST_DEPTH = 12, 8, 4
@@ -307,5 +307,20 @@ def near_duplicates(
     )
 
 
+def remove_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group, that with the smallest doc_id; rows without a doc_id all stay.
+
+    Only rows whose doc_id may be superfluous or repeated are shuffled; the others stay where they are.
+    """
+    gone = stored(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct())
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    touched = stored(gone.union(repeated))
+    rest = filtered(docs, "doc_id", touched, "left_anti")
+    hit = filtered(docs, "doc_id", touched).join(gone, "doc_id", "left_anti")
+    # rows without a doc_id are told apart by a number of their own
+    hit = hit.withColumn("_own", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return rest.select(docs.columns).union(hit.dropDuplicates(["doc_id", "_own"]).select(docs.columns))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -103,12 +103,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     rows = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)  # the model's documented bound
     picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text")
-    found = picked.mapInArrow(_counted, "doc_id long, label int, ids binary, counts binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["ids"])))
+    counted = picked.mapInArrow(_counted, "doc_id long, label int, ids binary, counts binary")
+    # repeated documents count once, so no more rows than labels reach the driver
+    found = counted.groupBy("doc_id", "label").agg(F.min(F.struct("ids", "counts")).alias("f")).select("doc_id", "label", "f.*").collect()
+    found.sort(key=lambda r: (r["doc_id"], r["label"]))
     return fit(
         [
             (r["label"], np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint32).astype(np.float32))
-            for r in found[: 4 * train_rows]  # repeated documents could be many
+            for r in found
         ]
     )
 
