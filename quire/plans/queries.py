@@ -222,7 +222,7 @@ def open_gate(spark, d):
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'empty-raster' WHEN p_size % 10 * 1000 * (p_partkey % 30 + 1) * 900 > 100000000 THEN 'pixels:max_pixels'
   WHEN p_size % 10 * 1000 * (p_partkey % 30 + 1) * 900 > 89478485 THEN 'pixels:max_pixels' END AS rule, CASE WHEN p_size % 10 <> 0 AND p_size % 10 * 1000 * (p_partkey % 30 + 1) * 900 > 89478485
-  THEN CASE WHEN p_size % 10 * 1000 * (p_partkey % 30 + 1) * 900 > 100000000 THEN 100000000 ELSE 89478485 END END AS allowed FROM part""")
+  THEN CAST(CASE WHEN p_size % 10 * 1000 * (p_partkey % 30 + 1) * 900 > 100000000 THEN 100000000 ELSE 89478485 END AS BIGINT) END AS allowed FROM part""")
 def pixel_gates(spark, d):
     error = o.flatten_gate(F.col("p_size") % 10 * 1000, (F.col("p_partkey") % 30 + 1) * 900, 100_000_000)
     return load(spark, d, "part").select("p_partkey", error.alias("e")).select("p_partkey", rule(F.col("e")).alias("rule"), F.col("e.allowed").alias("allowed"))

@@ -184,3 +184,34 @@ def manifest_problems(entries: DataFrame) -> DataFrame:
 def write_parts(split_pages: DataFrame, folder: str) -> None:
     """Each document's parts into folders of their own, doc_id=.../part=..., for delivery one by one."""
     split_pages.repartition("doc_id", "part").write.mode("error").partitionBy("doc_id", "part").parquet(folder)
+
+
+def glyph_rows(streams: DataFrame, fonts: dict, forms: dict | None = None) -> DataFrame:
+    """streams (doc_id, page_no, content) -> rows of glyphs and inks, as functions.content.walk places them.
+
+    fonts and forms are the page resources that the caller has resolved; a refused stream gives one row with its rule.
+    """
+    from ..functions.content import Glyph, walk
+
+    schema = "doc_id long, page_no long, kind string, glyph_ord long, left double, bottom double, right double, top double, x double, y double, font string, code long, op_ord long, rule string"
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.split()[1]] for f in schema.split(", ")]
+
+    def rows(doc, page, raw) -> Iterator[tuple]:
+        try:
+            for k, g in enumerate(walk(raw, fonts, forms)):
+                box = g.box or (None,) * 4
+                if isinstance(g, Glyph):
+                    yield (doc, page, "glyph", k, *box, g.x, g.y, g.font, g.code, g.op_ord, None)
+                else:
+                    yield (doc, page, "ink", k, *box, None, None, None, None, g.op_ord, None)
+        except s.SyntaxRefusal as refusal:
+            yield (doc, page, "refused", None, *(None,) * 9, refusal.rule)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, page, x in zip(*(batch.column(c) for c in ("doc_id", "page_no", "content")), strict=True):
+                found = list(rows(doc.as_py(), page.as_py(), x.as_buffer().to_pybytes() if x.is_valid else b""))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names)
+
+    return streams.select("doc_id", "page_no", "content").mapInArrow(part, schema)

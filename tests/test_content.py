@@ -34,3 +34,13 @@ def test_colours():
     raw = bytes([1, 2, 3, 4, 5, 6, 7, 8, 0, 0, 9, 10, 11, 12, 13, 14, 15, 16, 0, 0])
     assert c.rgba(raw, 2, 2, 10) == bytes([3, 2, 1, 4, 7, 6, 5, 8, 11, 10, 9, 12, 15, 14, 13, 16])
     assert c.rgba(raw, 1, 2, 10, alpha=False) == bytes([3, 2, 1, 11, 10, 9])
+
+
+def test_glyph_rows(spark):
+    from quire.sources.documents import glyph_rows
+
+    streams = [(1, 1, bytearray(b"BT /F1 10 Tf (A) Tj ET 0 0 5 5 re f")), (1, 2, bytearray(b"Q")), (2, 1, None)]
+    got = glyph_rows(spark.createDataFrame(streams, "doc_id long, page_no long, content binary"), FONTS).collect()
+    assert [(r.doc_id, r.page_no, r.kind, r.code, r.rule) for r in got] == [
+        (1, 1, "glyph", 65, None), (1, 1, "ink", None, None), (1, 2, "refused", None, "unbalanced-restore"),
+    ]
