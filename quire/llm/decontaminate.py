@@ -14,7 +14,6 @@ string. Items that share an item_id are one item. Columns besides the named ones
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator

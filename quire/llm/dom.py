@@ -16,7 +16,7 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
-SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
+SPACE = re.compile(r"\s+")
 
 #: Fixed values of HTML: elements without content, with raw content, without a rendered text, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -256,7 +256,7 @@ def near_duplicates(
     whole = made.where("digest is not null and doc_id is not null")
     groups = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = whole.join(
-        groups.select(F.col("digest").alias("d"), F.col("rep").alias("doc_id")).withColumnRenamed("doc_id", "r"),
+        groups.select(F.col("digest").alias("d"), F.col("rep").alias("r")),
         (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("r")),
         "left_semi",
     ).select("doc_id", "n_shingles", "labels", "lows")
