@@ -254,7 +254,7 @@ def near_duplicates(
         )
     )
     whole = made.where("digest is not null and doc_id is not null")
-    groups = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    groups = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     reps = whole.join(
         groups.select(F.col("digest").alias("d"), F.col("rep").alias("r")),
         (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("r")),
@@ -296,9 +296,12 @@ def near_duplicates(
     links = by_run(pairs, ["component", "low", "high"], _confirm(width, num, den), "a long, b long")
     group = components(links)
 
-    named = made.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
+    # both joins have plain shuffled sides, so that many copies of one text are a skew that adaptive execution splits
+    copied = stored(groups.where("n > 1").select("digest", "rep"))
+    named = made.select("doc_id", "n_shingles", "digest").join(copied, "digest", "left")
+    named = named.withColumn("rep", F.coalesce("rep", "doc_id"))
     out = named.join(group, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return out.select(
         "doc_id",
         "n_shingles",
