@@ -67,7 +67,8 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 9) -> tuple[
             label, ids, counts = rows[k]
             rate = np.float32(RATE * (1 - at / steps))
             at += 1
-            share = counts / np.float32(max(1, counts.sum()))
+            share = counts.astype(np.float32)
+            share /= max(1, share.sum())
             v = share @ table[ids] if len(ids) else np.zeros(DIM, np.float32)
             z = layer @ v + bias
             p = np.exp(z - z.max())
@@ -86,7 +87,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts = [], []
         for x in batch.column("text"):
             i, c = np.unique(features(x.as_buffer().to_pybytes() if x.is_valid else b"", seen), return_counts=True)
-            ids.append(i.astype(np.uint16).tobytes()), counts.append(c.astype(np.uint32).tobytes())
+            c = c * min(1, 65_535 / c.max(initial=1))  # only the counts' ratios matter
+            ids.append(i.astype(np.uint16).tobytes()), counts.append(np.ceil(c).astype(np.uint16).tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("label"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
             ["doc_id", "label", "ids", "counts"],
@@ -104,15 +106,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)  # the model's documented bound
     picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text")
     counted = picked.mapInArrow(_counted, "doc_id long, label int, ids binary, counts binary")
-    # repeated documents count once, so no more rows than labels reach the driver
-    found = counted.groupBy("doc_id", "label").agg(F.min(F.struct("ids", "counts")).alias("f")).select("doc_id", "label", "f.*").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["label"]))
-    return fit(
-        [
-            (r["label"], np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint32).astype(np.float32))
-            for r in found
-        ]
-    )
+    # repeated documents count once, so no more rows than labels reach the driver, and one partition at a time
+    once = counted.groupBy("doc_id", "label").agg(F.min(F.struct("ids", "counts")).alias("f")).select("doc_id", "label", "f.*")
+    found = [
+        (r["doc_id"], r["label"], np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint16))
+        for r in once.toLocalIterator()
+    ]
+    found.sort(key=lambda r: r[:2])
+    return fit([r[1:] for r in found])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
