@@ -35,14 +35,13 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay with their rate as probability, so that expected domain tokens match the target weights.
+    """Documents stay with their rate as probability, none twice, so that no domain has more than its weight.
 
-    The clean domain anchors the total, so clean documents have rates of about one or more and stay; a rate above
-    one does not repeat a document here.
+    The rates lie in 0..1 and are fitted as such. Relative to the clean tokens that stay, a domain above its weight comes
+    down to it in expectation; one below it keeps what it has. Clean documents stay.
     """
     labels = mixing.domain_of(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labels, mixing.WEIGHTS, "clean")
-    return mixed.where("copies >= 1").select(docs.columns)
+    return mixing.thin(docs, labels, mixing.WEIGHTS, "clean").select(docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,12 @@
 
 Targets are weights per domain; the grand total is such that the `anchor` domain keeps its expected tokens.
 
+`thin` is for a corpus in which no document is repeated: rates lie in 0..1 and are probabilities of staying. A domain has
+at most its weight relative to the anchor's kept tokens; one that has less keeps what it has, as no rate above one could
+be carried out. The rates are r_d = 1 - m . q_d within 0..1, with q_dk = posterior_dk - weight_k / weight_anchor *
+posterior_d,anchor and m >= 0 (a projected Newton ascent of the dual), so a document of the anchor domain is never
+lowered to make room for copies. Rates that do not meet this within `tolerance` are an error.
+
 Rows: a null or empty text has no tokens, the prior as posterior and a rate like others. Documents without a label are
 scored like those with one; labels of missing documents are ignored. A null doc_id is hashed like a value. Repeated rows
 are documents each. Other columns pass through; ones named like a result column are replaced. Without labelled rows every
@@ -215,6 +221,60 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor:
     return with_rates(found, stored(found.select("tokens", "posterior")), weights, domains)
 
 
+def fit_thinning(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], tolerance: float, most_steps: int) -> list[float]:
+    """The numbers m >= 0 of `thin`, one per domain but the first (the anchor), from docs (tokens, posterior)."""
+    n = len(domains) - 1
+    t, q = F.col("tokens"), excess(F.col("posterior"), domains, weights)
+
+    def sums(moved: list[float]) -> tuple[list[float], list[list[float]], float, float]:
+        z = 1 - step_of(q, moved)
+        r = F.greatest(F.lit(0.0), F.least(F.lit(1.0), z))
+        over = [F.sum(t * r * q[k]) for k in range(n)]
+        products = [F.sum(F.when(z.between(0, 1), t * q[i] * q[j]).otherwise(0.0)) for i in range(n) for j in range(n)]
+        value = F.sum(t * ((1 - r) * (1 - r) / 2 + r * step_of(q, moved)))
+        got = [float(x or 0) for x in docs.agg(value, F.sum(t * r * F.col("posterior")[0]), *over, *products).first()]
+        return got[2 : n + 2], [got[n + 2 + i * n : n + 2 + (i + 1) * n] for i in range(n)], got[0], got[1]
+
+    moved, scale = [0.0] * n, 1.0
+    over, gram, value, anchor = sums(moved)
+    whole = gram  # of all documents: keeps steps finite where few documents have a rate between the bounds
+    for _ in range(most_steps):
+        free = [k for k in range(n) if moved[k] > 0 or over[k] > 0]
+        if all(abs(over[k]) <= tolerance * anchor for k in free):
+            return moved
+        step = _solve([[gram[i][j] + 1e-3 * whole[i][j] for j in free] for i in free], [over[k] for k in free])
+        tried = list(moved)
+        for k, s in zip(free, step, strict=True):
+            tried[k] = max(0.0, moved[k] + scale * s)
+        new = sums(tried)
+        if new[2] >= value + 1e-4 * sum(o * (b - a) for o, a, b in zip(over, moved, tried, strict=True)):
+            moved, (over, gram, value, anchor), scale = tried, new, min(1.0, 4 * scale)
+        else:
+            scale /= 4
+    raise RuntimeError(f"rates are not within {tolerance} of the targets after {most_steps} steps: {over} of {anchor} tokens")
+
+
+def excess(posterior: Column, domains: tuple[str, ...], weights: dict[str, float]) -> list[Column]:
+    """What a token adds to each domain but the first, beyond its weight relative to the first."""
+    return [posterior[k] - F.lit(weights[d] / weights[domains[0]]) * posterior[0] for k, d in enumerate(domains) if k]
+
+
+def step_of(q: list[Column], moved: list[float]) -> Column:
+    return sum((x * F.lit(m) for x, m in zip(q, moved, strict=True)), F.lit(0.0))
+
+
+def thin(
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, tolerance: float = 1e-4, most_steps: int = 60, seed: int = 7, **classifier
+) -> DataFrame:
+    """The docs that stay, each at most once, with tokens, posterior and rate."""
+    domains = (anchor, *(d for d in weights if d != anchor))
+    found = classified(docs, labelled, domains, **classifier)
+    moved = fit_thinning(stored(found.select("tokens", "posterior")), domains, weights, tolerance, most_steps)
+    z = 1 - step_of(excess(F.col("posterior"), domains, weights), moved)
+    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return found.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.lit(1.0), z))).where(F.col("rate") + u >= 1)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = stored(classified(docs, domain_of(table(spark, sf_dir, "labels")), DOMAINS).drop("text"))

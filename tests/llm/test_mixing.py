@@ -52,3 +52,34 @@ def test_rows(spark):
     even = m.mix(frame, m.domain_of(labels.limit(0)), m.WEIGHTS, "clean").collect()
     assert all(np.allclose(r.posterior, 1 / 3) for r in even)
     assert m.mix(spark.createDataFrame([], schema), m.domain_of(labels), m.WEIGHTS, "clean").collect() == []
+
+
+def test_thinned_totals(spark):
+    """A domain under its weight stays whole and costs no clean document; one over it comes down to it."""
+    schema = "doc_id long, text string"
+    kind = lambda k: "junk" if k % 200 == 0 else "toxic" if k % 4 == 1 else "clean"
+    text = {"junk": "buy cheap pills now", "toxic": "vile slur words here", "clean": "plain words of text"}
+    frame = spark.createDataFrame([(k, text[kind(k)]) for k in range(8000)], schema)
+    labels = spark.createDataFrame([(k, kind(k)) for k in range(8000)], "doc_id long, domain string")
+    rows = m.thin(frame, labels, {"clean": 0.9, "junk": 0.02, "toxic": 0.08}, "clean").collect()
+    n = {d: sum(kind(r.doc_id) == d for r in rows) for d in text}
+    print(n, {d: sum(r.rate for r in rows if kind(r.doc_id) == d) / max(n[d], 1) for d in text})
+    assert len({r.doc_id for r in rows}) == len(rows) and all(0 <= r.rate <= 1 for r in rows)
+    assert n["clean"] == 5960 and n["junk"] == 40
+    assert np.isclose(n["toxic"] / n["clean"], 0.08 / 0.9, rtol=0.1)
+
+
+def test_pipeline_stage_keeps_its_totals(spark, tmp_path):
+    """The stage's own output: clean documents that the unbounded rates would lower for others' copies stay."""
+    import corpus_pipeline
+
+    # half of the texts "sale" are clean, half junk; junk lies under its weight, and rates above one would repeat them
+    kinds = ["slur" if k % 10 == 1 else "sale" if k % 250 == 0 else "plain" for k in range(5000)]
+    labels = [(k, 0 if x == "sale" and k % 500 else 1, int(x == "slur")) for k, x in enumerate(kinds)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(k, x, "en", "s", len(x)) for k, x in enumerate(kinds)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [r.text for r in corpus_pipeline.mixing_stage(spark, frame, str(tmp_path)).collect()]
+    print({x: (kinds.count(x), out.count(x)) for x in set(kinds)})
+    assert out.count("plain") == kinds.count("plain") and out.count("sale") == kinds.count("sale")
+    assert np.isclose(out.count("slur") / len(out), 0.02, rtol=0.2)
