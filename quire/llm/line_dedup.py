@@ -15,9 +15,10 @@ replaced). A line goes if an earlier one (by doc_id, then line number) is the sa
 4. Each named partner is verified by the edit distance of the two lines' words before the later line goes.
 5. Documents are rebuilt from their other lines.
 
-Rows: null and empty texts have no lines to lose and stay as they are. Rows that share a doc_id are one document: their
-equal line numbers are the same place. A null doc_id comes before all others. Repeated rows stay. Other columns pass
-through; ones named n_lines or n_removed are replaced. An empty table gives an empty result.
+Rows: null and empty texts have no lines to lose and stay as they are. A document is a doc_id with a text (`part`, a hash
+of the text): rows that share a doc_id, or have none, and hold different texts are documents each, in the order of their
+hashes. Rows that agree in both are one document: their equal line numbers are the same place, so repeated rows stay. A
+null doc_id comes before all others. Other columns pass through; ones named n_lines or n_removed are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from .common import filtered, stored, table
 from .words import WordHash, mixed, shingle_words
 
 NO_ID = -(2**63)
+PLACE = ["doc_id", "part", "line"]
 
 
 def half_keys(words: list[bytes]) -> list[int]:
@@ -76,39 +78,40 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 def _lines(least_words: int):
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, numbers, digests, keys = [], [], [], []
-            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            docs, parts, numbers, digests, keys = [], [], [], [], []
+            for doc, own, x in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("text"), strict=True):
                 for k, line in enumerate(x.as_buffer().to_pybytes().split(b"\n") if x.is_valid else ()):
                     if words := shingle_words(line):
-                        docs.append(doc), numbers.append(k)
+                        docs.append(doc), parts.append(own), numbers.append(k)
                         digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
                         keys.append(half_keys(words) if len(words) >= least_words else [])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "line", "digest", "halves"],
+                [pa.array(docs, pa.int64()), pa.array(parts, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "part", "line", "digest", "halves"],
             )
 
     return part
 
 
 def _neighbourhoods(least_words: int):
-    """From documents with the numbers of their wanted lines: (doc_id, line, words, variant hashes) of those lines."""
+    """From documents with the numbers of their wanted lines: (doc_id, part, line, words, variant hashes) of those lines."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
         for batch in batches:
-            docs, numbers, joined, keys = [], [], [], []
-            for doc, x, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+            docs, parts, numbers, joined, keys = [], [], [], [], []
+            columns = (batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist())
+            for doc, own, x, wanted in zip(*columns, strict=True):
                 lines = x.as_buffer().to_pybytes().split(b"\n")
                 for k in wanted:
                     words = shingle_words(lines[k]) if k < len(lines) else []
                     if len(words) >= least_words:
-                        docs.append(doc), numbers.append(k)
+                        docs.append(doc), parts.append(own), numbers.append(k)
                         joined.append(b" ".join(words))
                         keys.append(variants(seen.of(words)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(joined, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "line", "words", "variants"],
+                [pa.array(docs, pa.int64()), pa.array(parts, pa.int64()), pa.array(numbers, pa.int32()), pa.array(joined, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "part", "line", "words", "variants"],
             )
 
     return part
@@ -117,29 +120,29 @@ def _neighbourhoods(least_words: int):
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         same = [within_one(a.split(), b.split()) for a, b in zip(batch.column("words").to_pylist(), batch.column("other").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(same)) for c in ("doc_id", "line")], ["doc_id", "line"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(same)) for c in PLACE], PLACE)
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """Rows (doc_id, lines): the numbers, from 0, of each document's lines that an earlier line makes superfluous."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    lines = stored(docs.mapInArrow(_lines(least_words), "doc_id long, line int, digest binary, halves array<long>"))
-    place = F.struct("doc_id", "line")
+    """Rows (doc_id, part, lines): the numbers, from 0, of each document's lines that an earlier line makes superfluous."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("part"), "text")
+    lines = stored(docs.mapInArrow(_lines(least_words), "doc_id long, part long, line int, digest binary, halves array<long>"))
+    place = F.struct(*PLACE)
     equal = lines.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     equal = stored(equal.select("digest", "first"))
 
-    halves = lines.select("doc_id", "line", "digest", F.explode("halves").alias("half"))
+    halves = lines.select(*PLACE, "digest", F.explode("halves").alias("half"))
     one = F.xxhash64("digest")
     shared = halves.groupBy("half").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low < high").select("half")
     live = filtered(halves, "half", shared).groupBy("digest").agg(F.min(place).alias("first"))
-    live = stored(live.select("digest", "first.doc_id", "first.line"))
+    live = stored(live.select("digest", "first.*"))
 
-    wanted = live.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    texts = filtered(docs.where("text is not null"), "doc_id", live.select("doc_id")).join(wanted, "doc_id")
-    around = texts.mapInArrow(_neighbourhoods(least_words), "doc_id long, line int, words binary, variants array<long>")
-    around = stored(around.dropDuplicates(["doc_id", "line"]))
+    wanted = live.groupBy("doc_id", "part").agg(F.collect_set("line").alias("wanted"))
+    texts = filtered(docs.where("text is not null"), "doc_id", live.select("doc_id")).join(wanted, ["doc_id", "part"])
+    around = texts.mapInArrow(_neighbourhoods(least_words), "doc_id long, part long, line int, words binary, variants array<long>")
+    around = stored(around.dropDuplicates(PLACE))
 
-    keys = around.select("doc_id", "line", F.posexplode("variants").alias("at", "variant"))
+    keys = around.select(*PLACE, F.posexplode("variants").alias("at", "variant"))
     several = keys.groupBy("variant").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("variant")
     keys = stored(filtered(keys, "variant", several))
     keys = keys.select(place.alias("own"), "at", "variant")
@@ -151,26 +154,27 @@ def duplicate_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
     by_variant = cut.groupBy("variant").agg(F.min("own").alias("by"))
     longer = whole.join(by_variant, "variant").select("own", "by")
     # at most two partners a variant, each the earliest of its kind
-    pairs = replaced.union(shorter).union(longer).where("by < own").distinct().select("own.*", F.col("by.doc_id").alias("d"), F.col("by.line").alias("l"))
-    words = around.select("doc_id", "line", "words")
-    others = words.select(F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("words").alias("other"))
-    near = pairs.join(words, ["doc_id", "line"]).join(others, ["d", "l"]).select("doc_id", "line", "words", "other")
-    near = near.mapInArrow(_verified, "doc_id long, line int").distinct().join(live, ["doc_id", "line"]).select("digest", F.lit(True).alias("near"))
+    pairs = replaced.union(shorter).union(longer).where("by < own").distinct()
+    pairs = pairs.select("own.*", F.col("by.doc_id").alias("d"), F.col("by.part").alias("p"), F.col("by.line").alias("l"))
+    words = around.select(*PLACE, "words")
+    others = words.select(F.col("doc_id").alias("d"), F.col("part").alias("p"), F.col("line").alias("l"), F.col("words").alias("other"))
+    near = pairs.join(words, PLACE).join(others, ["d", "p", "l"]).select(*PLACE, "words", "other")
+    near = near.mapInArrow(_verified, "doc_id long, part long, line int").distinct().join(live, PLACE).select("digest", F.lit(True).alias("near"))
 
     told = stored(equal.join(near, "digest", "full_outer"))
     gone = filtered(lines, "digest", told).join(told, "digest").where((F.col("first") < place) | F.col("near"))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    return gone.groupBy("doc_id", "part").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """docs without their superfluous lines, with n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = stored(duplicate_lines(docs, least_words)).withColumnsRenamed({"doc_id": "_key", "lines": "_gone"})
-    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    hit = filtered(docs, "_key", gone.select("_key")).join(gone, "_key", "left")
+    gone = stored(duplicate_lines(docs, least_words)).withColumnsRenamed({"doc_id": "_key", "part": "_part", "lines": "_gone"})
+    docs = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_part": F.xxhash64("text")})
+    hit = filtered(docs, "_key", gone.select("_key")).join(gone, ["_key", "_part"], "left")
     rest = filtered(docs, "_key", gone.select("_key"), "left_anti").withColumn("_gone", F.lit(None).cast("array<int>"))
-    docs = docs.drop("_key")
-    both = hit.drop("_key").unionByName(rest.drop("_key"))  # documents that lose nothing stay where they are
+    docs = docs.drop("_key", "_part")
+    both = hit.drop("_key", "_part").unionByName(rest.drop("_key", "_part"))  # documents that lose nothing stay where they are
     fields = docs.schema.fields
     more = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
 

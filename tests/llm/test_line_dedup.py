@@ -100,3 +100,16 @@ def test_rows(spark):
     assert got[None].text == "short line" and got[6].text == "" and got[7].text == "short"
     assert got[8].text == "line 0 " + "z " * 9 and got[8].first == 1
     assert d.dedup_lines(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_documents_without_an_id_of_their_own(spark):
+    """Two null ids, and two texts under one id, are documents each: no line goes for another document's copy."""
+    line = "one two three four five six seven eight nine"
+    docs = [(None, "alpha\nbeta"), (None, "gamma\nalpha"), (1, "delta\nepsilon"), (1, "zeta\ndelta"), (2, "eta\ntheta"), (2, "eta\niota")]
+    docs += [(3, f"kappa\n{line}"), (3, f"lambda\n{line} ten"), (4, "mu"), (4, "mu")]
+    out = d.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    left = sorted(x for r in out for x in r.text.split("\n") if x)
+    assert len(out) == len(docs) and sum(r.n_removed for r in out) == 4
+    assert len([x for x in left if x.startswith("one two")]) == 1
+    want = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "mu"]
+    assert sorted(x for x in left if not x.startswith("one two")) == sorted(want)
