@@ -4,9 +4,9 @@ A document is the set of its distinct five-word shingles (words: runs of anythin
 A-Z lower-cased; a text of fewer words is one shingle; a text without words, empty or null, is the empty set).
 Two documents link if |A and B| / |A or B| >= threshold; groups are the components of the links.
 
-1. One scan makes for every document a digest of its word sequence, its set size and 96 MinHash values.
+1. One scan makes for every document a digest of its word sequence, its set size and 224 MinHash values.
    Texts of one word sequence become one representative, by a partially aggregated minimum.
-2. The forest: 12 signature orders of 8 values each. All orders are one range sort of (order, label, doc_id).
+2. The forest: 28 signature orders of 8 values each. All orders are one range sort of (order, label, doc_id).
    In an order, documents whose labels share a prefix of at least 4 values form a region. A region of more than
    `region_rows` rows is split by the next value, and so on (adaptive depth); at full depth it goes in windows
    that are joined whole. Within a region, rows whose estimated similarity and set sizes allow a link become
@@ -18,8 +18,9 @@ Two documents link if |A and B| / |A or B| >= threshold; groups are the componen
    exactly there by matrix products over the shared shingles; stars of confirmed links come out.
 4. Components of confirmed links, then the copies of each representative.
 
-A pair at the threshold 0.85 shares a region of depth 4 in at least one order with probability
-1 - (1 - 0.85^4)^12 = 0.9998, of depth 8 with 0.978; the estimate's bound lies four deviations below the threshold.
+A pair at the threshold 0.85 shares a region of depth 8 in at least one order with probability
+1 - (1 - 0.85^8)^28 = 0.9998, so a region's size does not decide what is found; of depth 4 with all but 1e-9. The
+similarity is estimated from the first 96 values; its bound lies four deviations below the threshold.
 
 Rows: null, empty and blank texts link with nothing. Rows that share a doc_id are one node. A null doc_id links
 with nothing, its component_id is null and it is kept. Columns other than doc_id and text are not read.
@@ -39,8 +40,10 @@ from pyspark.sql import functions as F
 from .common import by_run, components, filtered, stored, table
 from .words import WordHash, shingle_words, shingles
 
-ORDERS, DEPTH, LEAST_DEPTH = 12, 8, 4
+ORDERS, DEPTH, LEAST_DEPTH = 28, 8, 4
 HASHES = ORDERS * DEPTH
+#: The values, of the first orders, that estimate a pair's similarity and travel with every row of the forest.
+ESTIMATED = 96
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +53,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(s: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The 96 MinHash values of a set of hashes, 16 low bits of each."""
+    """The 224 MinHash values of a set of hashes, 16 low bits of each."""
     a, b = functions
     least = np.full(HASHES, np.uint64(2**64 - 1))
     for k in range(0, len(s), 2048):
@@ -71,7 +74,7 @@ def _signatures(width: int):
                     sig = signature(s, functions)
                     digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
                     labels.append(sig.astype(">u2").tobytes())
-                    lows.append(sig.astype(np.uint8).tobytes())
+                    lows.append(sig[:ESTIMATED].astype(np.uint8).tobytes())
                 else:
                     digests.append(None), labels.append(None), lows.append(None)
             yield pa.RecordBatch.from_arrays(
@@ -95,7 +98,7 @@ def _linked(n: np.ndarray, lows: np.ndarray, ratio: float, alike: float) -> np.n
     rows in different components has been compared.
     """
     m = len(n)
-    comp, led, least = np.arange(m), np.zeros(m, bool), math.ceil(alike * HASHES)
+    comp, led, least = np.arange(m), np.zeros(m, bool), math.ceil(alike * ESTIMATED)
     sizes = np.ones(m, np.int64)
     while True:
         largest = int(sizes.argmax())
@@ -160,7 +163,7 @@ def _regions(region_rows: int, ratio: float, alike: float, held_rows: int):
                 batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64),
                 labels,
                 batch.column("n_shingles").to_numpy(zero_copy_only=False).astype(np.int64),
-                np.frombuffer(b"".join(batch.column("lows").to_pylist()), np.uint8).reshape(m, HASHES),
+                np.frombuffer(b"".join(batch.column("lows").to_pylist()), np.uint8).reshape(m, ESTIMATED),
             )
             rows = now if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
             cuts = np.flatnonzero((rows[0][1:] != rows[0][:-1]).any(1)) + 1
@@ -246,7 +249,7 @@ def near_duplicates(
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs; see the module."""
     num, den = threshold
     t = num / den
-    alike = t - 4 * math.sqrt(t * (1 - t) / HASHES)
+    alike = t - 4 * math.sqrt(t * (1 - t) / ESTIMATED)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = stored(
         docs.mapInArrow(

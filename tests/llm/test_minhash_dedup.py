@@ -67,6 +67,17 @@ def test_against_brute_force(spark, options):
     check(spark, [(int(i), t) for i, t in zip(ids, texts, strict=True)], **options)
 
 
+def test_recall_at_full_depth(spark):
+    """Isolated pairs at the threshold are found in regions that are split to full depth as well."""
+    r, docs = np.random.default_rng(3), []
+    for k in range(600):
+        words = [f"w{int(x)}" for x in r.integers(0, 10**6, 66)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:30], "other", *words[31:]]))]  # 57 of 67 in common
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = m.near_duplicates(frame, region_rows=1).where("not kept").count()
+    assert found >= 599
+
+
 def test_rows(spark):
     long = random_text(np.random.default_rng(2), 60_000, 10**6)
     docs = [(1, None), (2, ""), (3, " \n\t "), (4, "a b"), (5, "A  b"), (6, "a b c"), (7, long), (8, long + " end")]
