@@ -1,13 +1,15 @@
-"""What several operators share: tables, checkpoints, sorted runs, components of a link graph."""
+"""What several operators share: tables, checkpoints, names, sorted runs, components of a link graph."""
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one spark.checkpoint.dir names.
 
-    Only where that is unset (a single machine, as in tests) is a folder chosen here.
+    Where that is unset, a folder is chosen here on a single machine (as in tests); on a cluster that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoints-"))
     return context.getCheckpointDir()
 
@@ -32,6 +36,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def set_apart(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with every column but the used ones under a name that no operator has, and the way back.
+
+    The way back takes a result and further columns of it; it gives df's own columns, in their order and under their names,
+    then the further ones. So no column of a table can clash with a working column.
+    """
+    names = [c if c in used else f"column {k}" for k, c in enumerate(df.columns)]
+    own = df.columns
+
+    def back(result: DataFrame, *more: str | Column) -> DataFrame:
+        return result.select(*(F.col(f"`{n}`").alias(c) for n, c in zip(names, own, strict=True)), *more)
+
+    return df.toDF(*names), back
+
+
 FILTER_BITS = 24
 
 
@@ -40,19 +59,43 @@ def _bit_of(column: Column) -> tuple[Column, Column]:
     return F.shiftright(h, 6), h.bitwiseAND(F.lit(63))
 
 
-def filtered(df: DataFrame, column: str, values: DataFrame, how: str = "left_semi") -> DataFrame:
-    """df's rows whose column may be among the first column of values (how `left_anti`: the rows for which it is not).
+def parted(df: DataFrame, column: str, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose column may be among the first column of values, and the rows for which it is not.
 
     A bit map of 2^24 hashed bits, aggregated from values and broadcast as at most 262,144 words of 64 bits, whatever
-    the number of values. No row that belongs is lost; rows that do not belong may come along, the more the fuller it is.
+    the number of values. No row that belongs is lost; few that do not belong come along. A map more than a quarter full
+    would let too many through: both parts are then plain joins with the values. df may hold no column beginning with `_`
+    but those of the caller's own that are not named here.
     """
     word, bit = _bit_of(F.col(values.columns[0]))
     mask = values.select(word.alias("_w"), F.expr("1L").alias("_one"), bit.cast("int").alias("_b"))
-    mask = mask.groupBy("_w").agg(F.bit_or(F.expr("shiftleft(_one, _b)")).alias("_mask"))
+    mask = stored(mask.groupBy("_w").agg(F.bit_or(F.expr("shiftleft(_one, _b)")).alias("_mask")))
+    if (mask.agg(F.sum(F.bit_count("_mask"))).first()[0] or 0) > 1 << (FILTER_BITS - 2):
+        one = values.select(F.col(values.columns[0]).alias(column)).distinct()
+        return df.join(one, column, "left_semi"), df.join(one, column, "left_anti")
     word, bit = _bit_of(F.col(column))
     df = df.withColumns({"_word": word, "_bit": bit.cast("int")})
     there = (F.col("_word") == F.col("_w")) & (F.expr("shiftright(_mask, _bit) & 1L") == 1)
-    return df.join(F.broadcast(mask), there, how).drop("_word", "_bit")
+    first, rest = (df.join(F.broadcast(mask), there, how).drop("_word", "_bit") for how in ("left_semi", "left_anti"))
+    return first, rest
+
+
+def filtered(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    return parted(df, column, values)[0]
+
+
+def running_starts(counts: DataFrame, key: str, amount: str, block: int = 1024) -> DataFrame:
+    """counts (key: a number from 0, amount) with `start`, the sum of all amounts of smaller keys.
+
+    Two levels: within blocks of `block` keys, and over the blocks' totals; so one task sees a row per block, not per key.
+    """
+    counts = counts.withColumn("_block", F.floor(F.col(key) / block))
+    sums = counts.groupBy("_block").agg(F.sum(amount).alias("_sum"))
+    over = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = sums.select("_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_head"))
+    within = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_head") + F.coalesce(F.sum(amount).over(within), F.lit(0))
+    return counts.join(heads, "_block").withColumn("start", start).drop("_block", "_head")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -93,30 +136,73 @@ def _print_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
 
 
+#: The most edges that a task contracts at once.
+CONTRACTED = 1 << 19
+
+
+def least_linked(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of m nodes the least node that the links a[i] - b[i] reach."""
+    comp = np.arange(m)
+    while True:
+        least = comp.copy()
+        np.minimum.at(least, a, comp[b])
+        np.minimum.at(least, b, comp[a])
+        least = np.minimum(least, least[least])
+        np.minimum.at(least, comp, least)
+        if (least == comp).all():
+            return comp
+        comp = least
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some edges at a time as the stars of their components: the same connections, one edge a node."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("u", "v"))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        comp = least_linked(len(ids), at[: len(u)], at[len(u) :])
+        own = np.flatnonzero(comp != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[comp[own]])], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CONTRACTED:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node.
 
-    Alternates large-star and small-star steps until nothing changes, which takes a number of rounds
-    logarithmic in the longest path. Every step is a join and a partially aggregated minimum, so a node
-    with very many links is a skewed join, which adaptive execution splits, not one task's list. Nodes
-    without an edge to another node do not appear. Each round is checkpointed.
+    Alternates large-star and small-star steps until nothing changes, which takes a number of rounds logarithmic in the
+    longest path; before each round every task replaces the edges it has, a bounded number at a time, by stars of the
+    same connections. Every step is a join and a partially aggregated minimum. The minima are stored before they are
+    joined, so both sides of a join are plain shuffles: a node with very many links is then a skew that adaptive execution
+    splits (or, while the minima are few, broadcasts away), not one task's list. Nodes without an edge to another node do
+    not appear. Each step is checkpointed.
     """
-    e = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+
+    def contracted(e: DataFrame) -> DataFrame:
+        return stored(e.distinct().mapInArrow(_contracted, "u long, v long"))
+
+    e = contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     seen = _print_of(e)
     for _ in range(most_rounds):
         if not seen[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         # large star: every larger neighbour of a node links to the node's least neighbour
         large = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u")
-        large = large.select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large.select(F.col("w").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours link to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(low.select("u", F.col("m").alias("v")).union(rest).distinct())
+        e = contracted(low.select("u", F.col("m").alias("v")).union(rest))
         now = _print_of(e)
         if now == seen:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filtered, stored, table
+from .common import filtered, parted, set_apart, stored, table
 from .words import WordHash, mixed, shingle_words
 
 NO_ID = -(2**63)
@@ -147,11 +147,12 @@ def duplicate_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
     keys = stored(filtered(keys, "variant", several))
     keys = keys.select(place.alias("own"), "at", "variant")
     whole, cut = keys.where("at = 0"), keys.where("at > 0")
-    by_place = cut.groupBy("variant", "at").agg(F.min("own").alias("by"))
-    replaced = cut.join(by_place, ["variant", "at"]).select("own", "by")
-    by_whole = whole.groupBy("variant").agg(F.min("own").alias("by"))
-    shorter = cut.join(by_whole, "variant").select("own", "by")
-    by_variant = cut.groupBy("variant").agg(F.min("own").alias("by"))
+    # the minima are stored: both sides of each join are then plain shuffles, and a template that very many lines fill is a
+    # skew that adaptive execution splits
+    least = stored(keys.groupBy("variant", "at").agg(F.min("own").alias("by")))
+    replaced = cut.join(least.where("at > 0"), ["variant", "at"]).select("own", "by")
+    shorter = cut.join(least.where("at = 0").select("variant", "by"), "variant").select("own", "by")
+    by_variant = stored(least.where("at > 0").groupBy("variant").agg(F.min("by").alias("by")))
     longer = whole.join(by_variant, "variant").select("own", "by")
     # at most two partners a variant, each the earliest of its kind
     pairs = replaced.union(shorter).union(longer).where("by < own").distinct()
@@ -170,12 +171,14 @@ def dedup_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """docs without their superfluous lines, with n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     gone = stored(duplicate_lines(docs, least_words)).withColumnsRenamed({"doc_id": "_key", "part": "_part", "lines": "_gone"})
-    docs = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_part": F.xxhash64("text")})
-    hit = filtered(docs, "_key", gone.select("_key")).join(gone, ["_key", "_part"], "left")
-    rest = filtered(docs, "_key", gone.select("_key"), "left_anti").withColumn("_gone", F.lit(None).cast("array<int>"))
-    docs = docs.drop("_key", "_part")
+    docs, back = set_apart(docs, "doc_id", "text")
+    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_part": F.xxhash64("text")})
+    hit, rest = parted(keyed, "_key", gone.select("_key"))
+    hit = hit.join(gone, ["_key", "_part"], "left")
+    rest = rest.withColumn("_gone", F.lit(None).cast("array<int>"))
     both = hit.drop("_key", "_part").unionByName(rest.drop("_key", "_part"))  # documents that lose nothing stay where they are
     fields = docs.schema.fields
+    both = both.select(*(F.col(f"`{c}`") for c in docs.columns), "_gone")
     more = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +197,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
                 [*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"]
             )
 
-    return both.mapInArrow(part, T.StructType([*fields, *more]))
+    return back(both.mapInArrow(part, T.StructType([*fields, *more])), "n_lines", "n_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,27 @@ def test_against_brute_force(spark, options):
     check(spark, [(int(i), t) for i, t in zip(ids, texts, strict=True)], **options)
 
 
+def test_hubs_find_the_links_of_large_groups(spark):
+    """Groups that no block holds: copies of one text that link to it alone, a chain, and texts alike without a link."""
+    r, docs = np.random.default_rng(8), []
+    base = random_text(r, 200)
+    for k in range(38):  # a run of five words replaced: linked to the base, not to each other
+        words = base.split()
+        words[5 * k : 5 * k + 5] = [f"y{int(x)}" for x in r.integers(0, 10**9, 5)]
+        docs.append(" ".join(words))
+    docs.append(base)
+    words = random_text(r, 200).split()
+    for k in range(60):  # each step links with its neighbours only
+        words[3 * k : 3 * k + 3] = [f"z{int(x)}" for x in r.integers(0, 10**9, 3)]
+        docs.append(" ".join(words))
+    base = random_text(r, 200)
+    docs += [edited(r, base, 4) for _ in range(40)]
+    ids = r.permutation(10 * len(docs))[: len(docs)]
+    data = [(int(i), t) for i, t in zip(ids, docs, strict=True)]
+    assert len({c for _, c in brute(data).values()}) < 60
+    check(spark, data, block_rows=16, hubs=4)
+
+
 def test_recall_at_full_depth(spark):
     """Isolated pairs at the threshold are found in regions that are split to full depth as well."""
     r, docs = np.random.default_rng(3), []
