@@ -2,10 +2,12 @@
 
 Law `rows`: shard counts differ by at most one.
 
-1. Rows fall into buckets by a hash of their key and text digest; one aggregate counts the buckets, their running
-   sums are the buckets' first numbers, and a row's number is that plus its rank by (doc_id, digests) in the bucket.
+1. Rows fall into buckets by a hash of their key and text; one aggregate counts the buckets, their running sums (in two
+   levels) are the buckets' first numbers, and a row's number is that plus its rank by (doc_id, digests) in the bucket.
    So numbers depend on the rows alone, not on files, partitions or retries. The number of buckets follows the
-   number of rows (`bucket_rows` each), so that no task ranks more than a bounded share, however the keys are dealt.
+   number of rows (`bucket_rows` each). Rows that agree in all of this and are more than `bucket_rows` are dealt over
+   buckets of their own by their place in the table, and stored so (equal rows may swap their numbers, which as a set
+   stay the same); so no task ranks more than a bounded share, however the keys are dealt.
 2. A keyed Feistel network over Z_a x Z_b with a * b just above N permutes the numbers; values of N or more walk on
    along their cycle. With a = ceil(sqrt N) fewer than sqrt N + 1 values lie outside, so a walk of WALK steps that
    never returns has a chance below N^(-WALK/2), and none at all for N <= WALK^2; such a row would raise an error.
@@ -24,9 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import running_starts, set_apart, stored, table
 
 ROUNDS, WALK = 6, 40
+#: The most rows of bucket numbers that are broadcast; more are joined.
+BROADCAST = 1_000_000
+BUCKETS_A_TASK = 16
+RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def position_of(number: Column, n: int, seed: int) -> Column:
@@ -59,37 +65,60 @@ def position_of(number: Column, n: int, seed: int) -> Column:
     return F.when(walk < n, walk).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long"))
 
 
+def in_buckets(docs: DataFrame, buckets: int, bucket_rows: int) -> DataFrame:
+    """docs (_digest) with `_bucket`; rows of a digest that more than bucket_rows share are dealt over further buckets."""
+    plain = F.pmod("_digest", F.lit(buckets))
+    equal = docs.groupBy("_digest").agg(F.count("*").alias("_n")).where(F.col("_n") > bucket_rows)
+    hot = stored(equal.select("_digest", F.ceil(F.col("_n") / bucket_rows).cast("long").alias("_parts")))
+    few = hot.count()  # at most n / bucket_rows
+    if not few:
+        return docs.withColumn("_bucket", plain)
+    before = Window.orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
+    hot = stored(hot.withColumn("_from", F.lit(buckets) + F.coalesce(F.sum("_parts").over(before), F.lit(0))))
+    hot = F.broadcast(hot) if few <= BROADCAST else hot
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts"))
+    dealt = docs.join(hot, "_digest").withColumn("_bucket", F.col("_from") + place).drop("_from", "_parts")
+    rest = docs.join(hot, "_digest", "left_anti").withColumn("_bucket", plain)
+    return rest.unionByName(stored(dealt))  # stored: what is counted is what is ranked
+
+
 def shard(
     docs: DataFrame,
     shards: int = 24,
     seed: int = 6,
     id_col: str = "doc_id",
     text_col: str = "text",
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 5_000,
 ) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (null: the law is `rows`)."""
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    docs = docs.drop(*RESULT)
+    own = docs.columns
+    docs, back = set_apart(docs)
+    key, body = (F.col(f"`{docs.columns[own.index(c)]}`") for c in (id_col, text_col))
+    text = F.coalesce(body, F.lit("")).cast("binary")
     docs = docs.withColumns({"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text)})
-    digest = F.xxhash64(id_col, "text_crc32", "size", F.xxhash64(text_col))
+    docs = docs.withColumn("_digest", F.xxhash64(key, "text_crc32", "size", F.xxhash64(body)))
     n = docs.count()
     buckets = max(1, -(-n // bucket_rows))
-    docs = docs.withColumns({"_digest": digest}).withColumns({"_bucket": F.pmod("_digest", F.lit(buckets))})
+    docs = in_buckets(docs, buckets, bucket_rows)
     # one row per bucket: n / bucket_rows rows, far below a broadcast's bound for any n
-    counts = docs.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    first = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(counts.select("_bucket", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_first")))
-    within = Window.partitionBy("_bucket").orderBy(F.col(id_col), "_digest", "text_crc32", "size")
+    counts = stored(running_starts(docs.groupBy("_bucket").agg(F.count("*").alias("_n")), "_bucket", "_n").drop("_n"))
+    tasks = -(-buckets // BUCKETS_A_TASK)
+    if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        docs = docs.repartition(tasks, "_bucket")  # the number of tasks follows the table
+    within = Window.partitionBy("_bucket").orderBy(key, "_digest", "text_crc32", "size")
     ranked = docs.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
-    starts = F.broadcast(counts) if buckets <= 1_000_000 else counts
-    placed = ranked.join(starts, "_bucket").withColumn("_at", position_of(F.col("_first") + F.col("_rank"), n, seed))
-    return placed.withColumns(
-        {
-            "law": F.lit("rows"),
-            "shard": (F.col("_at") % shards).cast("int"),
-            "slot": F.floor(F.col("_at") / shards).cast("long"),
-            "grown_shard": F.lit(None).cast("int"),
-        }
-    ).drop("_digest", "_bucket", "_rank", "_first", "_at")
+    starts = F.broadcast(counts) if buckets <= BROADCAST else counts
+    placed = ranked.join(starts, "_bucket").withColumn("_at", position_of(F.col("start") + F.col("_rank"), n, seed))
+    return back(
+        placed,
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        (F.col("_at") % shards).cast("int").alias("shard"),
+        F.floor(F.col("_at") / shards).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
