@@ -3,21 +3,21 @@ r"""Chat formatting by event-sourced reconstruction.
 The input is a log of events (conv_id, seq, message, kind, role, text):
 
 - `open`: the message begins, with its role; its text starts the message (null: nothing yet)
-- `delta`: text is appended to the message
-- `edit`: text replaces the message's text
+- `delta`: text is appended to the message; a first event of this kind begins a message without a role
+- `edit`: text replaces the message's text; a message that has not begun, or is withdrawn, has nothing to edit
 - `regenerate`: the message's text is discarded and begins anew with this text; later deltas continue it
-- `delete`: the message is withdrawn, unless an `open` or `regenerate` follows
+- `delete`: the message is withdrawn; nothing but an `open` or a `regenerate` brings it back
 
-The log is partitioned by conversation and message, sorted by seq (ties: kind, then text) and folded as a stream, so
-that a task holds one message, not a conversation. Messages are then partitioned by conversation and sorted by message
-number (ties: role, then text), and rendered as a stream. A long conversation is one training example and so one row.
+The log is partitioned by conversation and message, sorted by seq (ties: kind, in the order above but with `regenerate`
+before `edit` and `delta`, then role and text) and folded as a stream, so that a task holds one message, not a conversation.
+Messages are then partitioned by conversation and sorted by message number (ties: role, then text), and rendered as a
+stream. A long conversation is one training example and so one row. Messages may share a number if `part` tells them apart.
 
 Template: `<turn ROLE>TEXT</turn>` per message. In roles and texts every backslash, `<` and `>` is preceded by a
 backslash, so no text can contain a mark, and `parse` reads back exactly what was written. The loss mask is a list of
 (start, end) code-point spans of the formatted text: the escaped texts of the assistant's messages.
 
-Rows: a null text or role is the empty string; a null kind counts as `delta`; events before any `open` give a message
-with an empty role. A null conv_id is a conversation of its own. Repeated rows are repeated events (repeated `open`s
+Rows: a null text or role is the empty string; a null or unknown kind counts as `delta`. A null conv_id is a conversation of its own. Repeated rows are repeated events (repeated `open`s
 restart the message); a conversation table's rows that repeat a (conv_id, turn) are messages of their own. Empty logs
 give no rows. Columns besides the named ones are not read.
 """
@@ -29,9 +29,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import table
 
@@ -82,29 +81,35 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Events of the same seq apply in this order.
+RANK = ("open", "regenerate", "edit", "delta", "delete")
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Events sorted by (conv_id, message, seq): one row per message that stands."""
-    key, role, parts, alive = object(), "", [], False
+    """Events sorted by (conv_id, message, part, seq): one row per message that stands."""
+    key, role, parts, state = object(), "", [], "none"
     for batch in batches:
         out = []
-        for conv, message, kind, who, text in zip(
-            *(batch.column(c).to_pylist() for c in ("conv_id", "message", "kind", "role", "text")), strict=True
+        for conv, message, part, kind, who, text in zip(
+            *(batch.column(c).to_pylist() for c in ("conv_id", "message", "part", "kind", "role", "text")), strict=True
         ):
-            if (conv, message) != key:
-                if alive:
-                    out.append((*key, role, "".join(parts)))
-                key, role, parts, alive = (conv, message), "", [], False
+            if (conv, message, part) != key:
+                if state == "there":
+                    out.append((*key[:2], role, "".join(parts)))
+                key, role, parts, state = (conv, message, part), "", [], "none"
             if kind == "delete":
-                parts, alive = [], False
-            elif kind in ("open", "edit", "regenerate"):
-                parts, alive = [text or ""], alive or kind != "edit"
+                parts, state = [], "withdrawn"
+            elif kind in ("open", "regenerate"):
+                parts, state = [text or ""], "there"
                 role = (who or "") if kind == "open" else role
-            else:
+            elif kind == "edit":
+                parts = [text or ""] if state == "there" else parts
+            elif state != "withdrawn":
                 parts.append(text or "")
-                alive = True
+                state = "there"
         yield _messages(out)
-    if alive:
-        yield _messages([(*key, role, "".join(parts))])
+    if state == "there":
+        yield _messages([(*key[:2], role, "".join(parts))])
 
 
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -116,9 +121,13 @@ def _messages(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
-    """Rows (conv_id, message, role, text): the log's final messages."""
-    events = events.select("conv_id", "message", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", "text")
-    events = events.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "kind", "text")
+    """Rows (conv_id, message, role, text): the log's final messages. events may have `part` (long) beside message."""
+    part = F.col("part") if "part" in events.columns else F.lit(0).cast("long")
+    kind = F.when(F.col("kind").isin(*RANK), F.col("kind")).otherwise("delta")
+    events = events.select("conv_id", "message", part.alias("part"), "seq", kind.alias("kind"), "role", "text")
+    events = events.withColumn("rank", F.array_position(F.array(*map(F.lit, RANK)), F.col("kind")))
+    own = ["conv_id", "message", "part"]
+    events = events.repartition(*own).sortWithinPartitions(*own, "seq", "rank", "role", "text")
     return events.mapInArrow(_fold, "conv_id long, message long, role string, text string")
 
 
@@ -152,21 +161,39 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: each row, in order of turn, role and text, opens a message and streams its
-    text as one delta. Rows that repeat a turn are messages of their own."""
+    """A table of finished turns as the log of how they came about. Rows that repeat a turn are messages of their own.
+
+    Every turn opens its message. By the hash of its text, a turn was then streamed in two deltas as it stands; or begun
+    wrongly, regenerated and continued; or streamed wrongly and set right by an edit; or deleted at first and opened again.
+    Equal rows are counted before they are shuffled; `part` numbers them and tells apart what shares a turn.
+    """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
+        F.col("turn").cast("long").alias("message"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    events = F.array(
-        F.struct(F.lit(0).alias("seq"), F.lit("open").alias("kind"), F.lit("").alias("text")),
-        F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.col("text").alias("text")),
+    same = rows.groupBy("conv_id", "message", F.xxhash64("role", "text").alias("hash"))
+    rows = same.agg(F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("n"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("part", F.xxhash64("hash", "copy"))
+    whole = F.col("text")
+    half = F.floor(F.length(whole) / 2).cast("int")
+    head, tail = F.substring(whole, F.lit(1), half), F.substring(whole, half + 1, F.length(whole))
+    wrong = F.concat(F.substring(whole, 1, 12), F.lit(" </turn>"))
+
+    def log(*steps: tuple[str, Column]) -> Column:
+        made = (F.struct(F.lit(k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(steps))
+        return F.array(*made)
+
+    none = F.lit("")
+    how = F.pmod("hash", F.lit(4))
+    events = (
+        F.when(how == 0, log(("open", none), ("delta", head), ("delta", tail)))
+        .when(how == 1, log(("open", none), ("delta", wrong), ("regenerate", head), ("delta", tail)))
+        .when(how == 2, log(("open", wrong), ("delta", wrong), ("edit", whole)))
+        .otherwise(log(("open", wrong), ("delete", none), ("delta", wrong), ("open", head), ("delta", tail)))
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = rows.withColumn("message", F.row_number().over(order).cast("long"))
-    return numbered.select("conv_id", "message", "role", F.inline(events))
+    return rows.select("conv_id", "message", "part", "role", F.inline(events))
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

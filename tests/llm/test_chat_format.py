@@ -40,10 +40,44 @@ def test_events(spark):
         (4, None): ("", "no number"),
     }
     formatted = {r.conv_id: r.formatted for r in c.format_chats(c.reconstruct(frame)).collect()}
-    assert formatted[1] == "<turn user>Hi!</turn><turn assistant>Good day</turn>"
+    assert (3, 5) not in got and formatted[1] == "<turn user>Hi!</turn><turn assistant>Good day</turn>"
     assert c.reconstruct(spark.createDataFrame([], schema)).collect() == []
 
 
+def folded(events):
+    """The final (role, text) of each message by states, one event after the other; events: (message, seq, kind, role, text)."""
+    rank = {"open": 0, "regenerate": 1, "edit": 2, "delta": 3, "delete": 4}
+    out = {}
+    for message, _, kind, role, text in sorted(events, key=lambda e: (e[0], e[1], rank[e[2]], e[3] or "", e[4] or "")):
+        was = out.get(message)
+        if kind == "open":
+            out[message] = (role or "", text or "")
+        elif kind == "regenerate":
+            out[message] = (was[0] if was else out.get((message, "role"), ""), text or "")
+        elif kind == "delete":
+            out[message, "role"], out[message] = was[0] if was else out.get((message, "role"), ""), False
+        elif kind == "edit" and was:
+            out[message] = (was[0], text or "")
+        elif kind == "delta" and was is not False:
+            out[message] = ((was or ("", ""))[0], (was or ("", ""))[1] + (text or ""))
+    return {k: v for k, v in out.items() if isinstance(k, int) and v}
+
+
+def test_random_logs_against_a_plain_fold(spark):
+    import random
+
+    r = random.Random(3)
+    kinds = ["open", "delta", "delta", "edit", "regenerate", "delete"]
+    log = [(k % 40, r.randrange(6), r.choice(kinds), r.choice([None, "user", "assistant"]), r.choice([None, "", "a", "b"])) for k in range(400)]
+    frame = spark.createDataFrame([(1, *e) for e in log], "conv_id long, message long, seq long, kind string, role string, text string")
+    assert {r.message: (r.role, r.text) for r in c.reconstruct(frame).collect()} == folded(log)
+
+
+def test_events_of_hold_every_kind(spark):
+    log = c.events_of(spark.read.parquet(f"{SF}/conversations.parquet")).groupBy("kind").count().collect()
+    assert {r.kind for r in log} == set(c.RANK) and min(r["count"] for r in log) > 5
+
+
 def test_rows(spark):
     rows = [(1, 0, "user", None, 9), (1, 1, None, "a\\b", 9), (1, 1, None, "a\\b", 9), (1, 1, "assistant", "x" * 10**6, 9), (1, None, "user", "first", 9)]
     rows += [(None, 0, "user", "n", 9)] + [(2, k, "assistant", f"t{k}", 9) for k in range(3000)]
