@@ -2,24 +2,28 @@
 
 1. Classifier. Labelled documents (at most `train_rows`, those with the smallest hash of doc_id) are read as sets of
    hashed words and of levels of the share of odd words (capitals, signs, digits). One aggregate counts, per feature and
-   domain, the documents that hold it. A feature speaks for a domain if its share there is above the base domain's by
-   `least_z` standard errors and by a factor of `least_ratio`; the `most_features` best of them are the domain's model (Bernoulli: presence
-   and absence count). Posteriors are the normalised exponentials of prior and evidence.
+   domain, the documents that hold it; features of fewer than `least_docs` documents are left out. A feature speaks for a domain
+   if its share there is above the base domain's by `least_z` standard errors and by a factor of `least_ratio`; the
+   `most_features` best of them (None: all) are the domain's model (Bernoulli: presence and absence count). Posteriors are
+   the normalised exponentials of prior and evidence. These five are parameters of the classifier alone.
 2. Rates. Every document d gets a rate r_d >= 0, the expected number of its copies, such that the expected token
-   totals of the domains, sum over d of r_d * tokens_d * posterior_dk, match the targets, with the least squared
-   change from r = 1. Gradient steps move all rates along the posteriors and project them on r >= 0:
-   r_d = max(0, 1 - p_d . m), where the K numbers m gather the steps. A step is one aggregate over all documents, of K
-   totals (the gradient), K * K products that scale it and the objective that bounds its length; only those numbers
-   reach the driver. It stops when the totals are within `tolerance` of the targets' sum, or after `most_steps`.
+   totals of the domains, sum over d of r_d * tokens_d * posterior_dk, match the targets by weighted least squares: half the sum of
+   the squared gaps, each over its target. Projected gradients from r = 1: r_d = max(0, r_d - step * sum over k of
+   posterior_dk * gap_k / target_k), the gradient in the metric of the tokens. A first step is the inverse of a bound on the
+   K x K matrix of products of the posteriors; later ones are Barzilai-Borwein steps, taken back where the squares grow.
+   A step is one aggregate over all documents; only K totals and a length reach the driver. A document's rate is state: it is
+   stored every few steps, and is the same fold over the steps' K numbers, which is how it is attached to the documents.
+   It ends when all gaps are within `tolerance` of the targets' sum, or no rate moves any more; targets that no rates >= 0 meet
+   leave the least squares, with a warning of the gaps.
 3. Copies: floor(r + u) with u a hash of the document's id.
 
 Targets are weights per domain; the grand total is such that the `anchor` domain keeps its expected tokens.
 
 `thin` is for a corpus in which no document is repeated: rates lie in 0..1 and are probabilities of staying. A domain has
 at most its weight relative to the anchor's kept tokens; one that has less keeps what it has, as no rate above one could
-be carried out. The rates are r_d = 1 - m . q_d within 0..1, with q_dk = posterior_dk - weight_k / weight_anchor *
-posterior_d,anchor and m >= 0 (a projected Newton ascent of the dual), so a document of the anchor domain is never
-lowered to make room for copies. Rates that do not meet this within `tolerance` are an error.
+be carried out. The same projected gradients, between both bounds, of the squared excesses: a document adds
+posterior_dk - weight_k / weight_anchor * posterior_d,anchor to domain k's excess, so a document of the anchor domain is never
+lowered to make room. Rates that do not meet this within `tolerance` are an error.
 
 Rows: a null or empty text has no tokens, the prior as posterior and a rate like others. Documents without a label are
 scored like those with one; labels of missing documents are ignored. A null doc_id is hashed like a value. Repeated rows
@@ -30,11 +34,12 @@ posterior is even; a domain without any has no posterior and no target. An empty
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import set_apart, stored, table
 
 #: The query's production parameters: domains by label, and the share of tokens each is to have.
 DOMAINS = ("clean", "junk", "toxic")
@@ -47,24 +52,23 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and toxic is not null").select("doc_id", kind.alias("domain"))
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-
-
 #: Levels, in hundredths, of the share of odd words in a text.
 LEVELS = (1, 2, 5, 10, 20, 35, 50, 70, 90)
 
 
 def plain_words_of(text: Column) -> Column:
     """A text's words without case and signs."""
-    return words_of(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", " "))
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+
 
+def tokens_of(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
 
-def levels_of(text: Column) -> Column:
+
+def levels_of(text: Column, tokens: Column) -> Column:
     """The levels that the share of odd words in a text reaches, as features (` odd 50`; no word holds a space)."""
-    words = words_of(text)
-    odd = F.size(F.filter(words, lambda w: ~w.rlike(r"^\p{L}\p{Ll}*[.,]?$")))
-    share = F.struct((odd * 100).alias("odd"), F.greatest(F.size(words), F.lit(1)).alias("all"))
+    usual = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?<!\S)\p{L}\p{Ll}*[.,]?(?!\S)"))
+    share = F.struct(((tokens - usual) * 100).alias("odd"), F.greatest(tokens, F.lit(1)).alias("all"))
     levels = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(f" odd {k}").alias("f")) for k in LEVELS))
     # the outer transform makes the share a value, which the levels then only compare with
     reached = F.transform(F.array(share), lambda s: F.filter(levels, lambda x: s["odd"] >= x["k"] * s["all"]))
@@ -72,28 +76,38 @@ def levels_of(text: Column) -> Column:
 
 
 def train(
-    docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], train_rows: int, least_z: float, least_ratio: float, most_features: int
+    docs: DataFrame,
+    labelled: DataFrame,
+    domains: tuple[str, ...],
+    train_rows: int,
+    least_docs: int,
+    least_z: float,
+    least_ratio: float,
+    most_features: int | None,
 ) -> list[tuple[float, dict[str, float]]]:
-    """Per domain but the first, against the first: the log-odds of none of its features, and what each one adds."""
+    """Per domain, against the first: the log-odds of none of its features, and what each one adds."""
     picked = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(train_rows)  # the model's documented bound
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     # the empty feature counts the documents themselves
-    held = F.concat(F.array(F.lit("")), F.array_distinct(plain_words_of(F.col("text"))), levels_of(F.col("text")))
+    words = F.array_distinct(F.filter(plain_words_of(F.col("text")), lambda w: w != ""))
+    held = F.concat(F.array(F.lit("")), words, levels_of(F.col("text"), tokens_of(F.col("text"))))
     seen = rows.select("domain", F.explode(held).alias("f"))
     counts = seen.groupBy("f").agg(*(F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)))
-    counts = stored(counts.where("n0 + " + " + ".join(f"n{k}" for k in range(1, len(domains))) + "  >= 5 or f = ''"))
+    counts = stored(counts.where("n0 + " + " + ".join(f"n{k}" for k in range(1, len(domains))) + f" >= {least_docs} or f = ''"))
     sizes = counts.where("f = ''").first()
     size = [sizes[f"n{k}"] if sizes else 0 for k in range(len(domains))]
-    out = []
+    # a domain without labelled documents has no posterior, unless no domain has any
+    nothing = [-700.0 if any(size) and not n else 0.0 for n in size]
+    out = [(nothing[0], {})]
     for k in range(1, len(domains)):
         p, q = (F.col(f"n{k}") + 0.5) / (size[k] + 1), (F.col("n0") + 0.5) / (size[0] + 1)
         error = F.sqrt(p * (1 - p) / (size[k] + 1) + q * (1 - q) / (size[0] + 1))
         told = counts.where("f <> ''").select("f", p.alias("p"), q.alias("q"), error.alias("e"))
         told = told.where((F.col("p") - F.col("q") >= least_z * F.col("e")) & (F.col("p") >= least_ratio * F.col("q")))
-        best = told.orderBy(((F.col("q") - F.col("p")) * F.ln(F.col("p") / F.col("q"))), "f").limit(most_features)
-        # a domain without labelled documents has no posterior, unless no domain has any
-        base, weights = math.log((size[k] + 1) / (size[0] + 1)) if size[k] or not any(size) else -700.0, {}
+        best = told.orderBy(((F.col("q") - F.col("p")) * F.ln(F.col("p") / F.col("q"))), "f")
+        best = best if most_features is None else best.limit(most_features)
+        base, weights = nothing[k] or math.log((size[k] + 1) / (size[0] + 1)), {}
         for r in best.collect() if size[k] and size[0] else ():
             absent = math.log((1 - r["p"]) / (1 - r["q"]))
             weights[r["f"]] = math.log(r["p"] / r["q"]) - absent
@@ -107,7 +121,7 @@ def posteriors(docs: DataFrame, model: list[tuple[float, dict[str, float]]], tex
     every = sorted({f for _, weights in model for f in weights})
     # a document holds few of the model's words: only these are looked up
     known = F.array(*map(F.lit, every)) if every else F.expr("cast(array() as array<string>)")
-    held = F.coalesce(F.concat(F.array_intersect(plain_words_of(F.col(text_col)), known), levels_of(F.col(text_col))), F.expr("cast(array() as array<string>)"))
+    held = F.concat(F.array_intersect(plain_words_of(F.col(text_col)), known), levels_of(F.col(text_col), F.col("tokens")))
 
     def gathered(weights: dict[str, float]) -> Column:
         if not weights:
@@ -120,8 +134,9 @@ def posteriors(docs: DataFrame, model: list[tuple[float, dict[str, float]]], tex
         made = df.withColumn("_once", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
         return made.withColumns({n: F.col(f"_once.{n}") for n in columns}).drop("_once")
 
-    docs = once(docs, _f=held, tokens=F.size(words_of(F.col(text_col))).cast("long"))
-    logs = [F.lit(0.0), *(gathered(weights) + base for base, weights in model)]
+    docs = once(docs, tokens=tokens_of(F.col(text_col)))
+    docs = once(docs, _f=held)
+    logs = [gathered(weights) + base for base, weights in model]
     docs = once(docs, _z=F.array(*logs))
     z = [F.col("_z")[k] for k in range(len(logs))]
     powers = [F.exp(x - F.greatest(F.lit(0.0), *z)) for x in z]
@@ -129,129 +144,130 @@ def posteriors(docs: DataFrame, model: list[tuple[float, dict[str, float]]], tex
     return docs.withColumn("posterior", F.array(*(x / total for x in powers))).drop("_f", "_z")
 
 
-def _solve(a: list[list[float]], b: list[float]) -> list[float]:
-    n = len(b)
-    ridge = 1e-9 * (sum(a[i][i] for i in range(n)) / n or 1.0)
-    rows = [[*a[i][:i], a[i][i] + ridge, *a[i][i + 1 :], b[i]] for i in range(n)]
-    for i in range(n):
-        p = max(range(i, n), key=lambda r: abs(rows[r][i]))
-        rows[i], rows[p] = rows[p], rows[i]
-        for r in range(n):
-            if r != i:
-                f = rows[r][i] / rows[i][i]
-                rows[r] = [x - f * y for x, y in zip(rows[r], rows[i], strict=True)]
-    return [rows[i][n] / rows[i][i] for i in range(n)]
-
-
-def rate(posterior: Column, moved: list[float]) -> Column:
-    step = sum((posterior[k] * F.lit(m) for k, m in enumerate(moved)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), 1 - step)
+def stepped(rate: Column, x: list[Column], step: list, most: float | None) -> Column:
+    """A rate after one step, projected on 0 .. most."""
+    move = sum((a * (b if isinstance(b, Column) else F.lit(b)) for a, b in zip(x, step, strict=True)), F.lit(0.0))
+    moved = F.greatest(F.lit(0.0), rate - move)
+    return moved if most is None else F.least(F.lit(most), moved)
+
+
+def rate_of(x: list[Column], steps: list[list[float]], most: float | None) -> Column:
+    """A document's rate, from its K numbers x: the fold of the steps, from 1."""
+    if not steps:
+        return F.lit(1.0)
+    every = F.array(*(F.array(*map(F.lit, step)) for step in steps))
+    return F.aggregate(every, F.lit(1.0), lambda r, s: stepped(r, x, [s[k] for k in range(len(x))], most))
+
+
+#: A rate is stored after so many steps.
+KEPT = 5
+
+
+def fit(docs: DataFrame, x: list[Column], gaps_of, scale: list[float], most: float | None, within: float, most_steps: int) -> tuple[list[list[float]], list[float]]:
+    """The steps, and the gaps that remain. docs: rows (tokens, ...) that x is read from; gaps_of: gaps from the K totals."""
+    n = len(x)
+    rows = docs.select(F.col("tokens").cast("double").alias("t"), *(c.alias(f"x{k}") for k, c in enumerate(x)), F.lit(1.0).alias("r"))
+    x, t = [F.col(f"x{k}") for k in range(n)], F.col("t")
+    products = [F.sum(t * x[i] * x[j]) for i in range(n) for j in range(n)]
+    first = [float(v or 0) for v in rows.agg(*(F.sum(t * c) for c in x), *products).first()]
+    totals, gram = first[:n], [first[n + i * n : n + (i + 1) * n] for i in range(n)]
+    # no step is shorter than the inverse of the largest row sum of the scaled products, which bounds their largest eigenvalue
+    rows_sums = [sum(abs(gram[i][j]) / math.sqrt(scale[i] * scale[j]) for j in range(n)) for i in range(n)]
+    least = 1 / max([*rows_sums, 1e-300])
+    gaps, length, steps, pending = gaps_of(totals), least, [], []
+    square = sum(g * g / s for g, s in zip(gaps, scale, strict=True))
+    for _ in range(2 * most_steps):
+        if len(steps) >= most_steps or max(map(abs, gaps), default=0.0) <= within:
+            break
+        step = [length * g / s for g, s in zip(gaps, scale, strict=True)]
+        old = F.col("r")
+        for past in pending:
+            old = stepped(old, x, past, most)
+        new = stepped(old, x, step, most)
+        got = [float(v or 0) for v in rows.agg(F.sum(t * (new - old) * (new - old)), *(F.sum(t * new * c) for c in x)).first()]
+        moved, now = got[0], got[1:]
+        then = gaps_of(now)
+        squared = sum(g * g / s for g, s in zip(then, scale, strict=True))
+        if squared > square and length > least:
+            length = least
+            continue
+        steps.append(step), pending.append(step)
+        curve = sum((b - a) * (h - g) / s for a, b, g, h, s in zip(totals, now, gaps, then, scale, strict=True))
+        length = max(least, moved / curve) if curve > 0 else least
+        done = square - squared <= 1e-12 * square
+        totals, gaps, square = now, then, squared
+        if done:  # as near as the bounds let the rates come
+            break
+        if len(pending) == KEPT:
+            for past in pending:
+                rows = rows.withColumn("r", stepped(F.col("r"), x, past, most))
+            rows, pending = stored(rows), []
+    return steps, gaps
 
 
-def fit_rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], anchor: str, tolerance: float, most_steps: int) -> list[float]:
-    """The numbers m, from docs (tokens, posterior)."""
-    n = len(domains)
-    p, t = F.col("posterior"), F.col("tokens")
+def of_domain(domains: tuple[str, ...]) -> list[Column]:
+    return [F.col("posterior")[k] for k in range(len(domains))]
 
-    def sums(moved: list[float]) -> tuple[list[float], list[list[float]], float]:
-        r = rate(p, moved)
-        totals = [F.sum(t * r * p[k]) for k in range(n)]
-        products = [F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i in range(n) for j in range(n)]
-        got = [float(x or 0) for x in docs.agg(F.sum(t * r * r / 2), *totals, *products).first()]
-        return got[1 : n + 1], [got[n + 1 + i * n : n + 1 + (i + 1) * n] for i in range(n)], got[0]
 
-    moved, scale = [0.0] * n, 1.0
-    totals, gram, half = sums(moved)
+def fit_rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], anchor: str, tolerance: float, most_steps: int) -> list[list[float]]:
+    """The steps of the rates >= 0, from docs (tokens, posterior)."""
+    p = of_domain(domains)
+    found = docs.agg(*(F.sum(F.col("tokens") * c) for c in p)).first()
+    totals = [float(v or 0) for v in found]
     grand = totals[domains.index(anchor)] / weights[anchor]
+    if grand <= 0:
+        return []
     # what has next to no tokens at any rates cannot be brought to a target
-    target = [weights[d] * grand if s > 1e-12 * grand else s for d, s in zip(domains, totals, strict=True)]
-    value = half  # the dual objective: half the squared rates plus moved . target, convex in moved
-    for _ in range(most_steps):
-        error = [a - b for a, b in zip(totals, target, strict=True)]
-        if grand <= 0 or max(map(abs, error)) <= tolerance * grand or scale < 1e-6:
-            break
-        step = _solve(gram, error)
-        tried = [m + scale * s for m, s in zip(moved, step, strict=True)]
-        now, products, half = sums(tried)
-        v = half + sum(m * x for m, x in zip(tried, target, strict=True))
-        if v <= value - 1e-4 * scale * sum(e * s for e, s in zip(error, step, strict=True)):
-            still = max(abs(a - b) for a, b in zip(now, totals, strict=True)) <= 1e-9 * grand
-            moved, totals, gram, value, scale = tried, now, products, v, min(1.0, 4 * scale)
-            if still:  # as near as non-negative rates come to targets that they cannot meet
-                break
-        else:
-            scale /= 4
-    return moved
+    target = [weights[d] * grand if s > 1e-12 * grand else None for d, s in zip(domains, totals, strict=True)]
+
+    def gaps_of(now: list[float]) -> list[float]:
+        return [0.0 if want is None else have - want for have, want in zip(now, target, strict=True)]
+
+    scale = [want or grand for want in target]
+    steps, gaps = fit(docs, p, gaps_of, scale, None, tolerance * grand, most_steps)
+    if max(map(abs, gaps)) > tolerance * grand:
+        warnings.warn(f"no rates meet the targets: {dict(zip(domains, gaps, strict=True))} tokens too many", stacklevel=2)
+    return steps
 
 
 def with_rates(
     docs: DataFrame,
-    scored: DataFrame,
     weights: dict[str, float],
     domains: tuple[str, ...],
     tolerance: float = 1e-4,
-    most_steps: int = 40,
+    most_steps: int = 100,
     seed: int = 7,
 ) -> DataFrame:
-    """docs (with tokens and posterior) with rate and copies; scored: the same documents' (tokens, posterior), computed once."""
-    moved = fit_rates(scored, domains, weights, domains[0], tolerance, most_steps)
+    """docs (doc_id, tokens, posterior, ..., stored) with rate and copies."""
+    steps = fit_rates(docs.select("tokens", "posterior"), domains, weights, domains[0], tolerance, most_steps)
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    out = docs.withColumn("rate", rate(F.col("posterior"), moved))
+    out = docs.withColumn("rate", rate_of(of_domain(domains), steps, None))
     return out.withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
 
 
+RESULT = ("tokens", "posterior", "rate", "copies")
+
+
 def classified(
     docs: DataFrame,
     labelled: DataFrame,
     domains: tuple[str, ...],
     train_rows: int = 20_000,
+    least_docs: int = 5,
     least_z: float = 4.0,
     least_ratio: float = 3.0,
-    most_features: int = 64,
+    most_features: int | None = 64,
 ) -> DataFrame:
     """docs with tokens and posterior, one probability per domain; the first domain is the base."""
-    model = train(docs, labelled, domains, train_rows, least_z, least_ratio, most_features)
-    return posteriors(docs.drop("tokens", "posterior", "rate", "copies"), model)
+    docs, back = set_apart(docs.drop(*RESULT), "doc_id", "text")
+    model = train(docs, labelled, domains, train_rows, least_docs, least_z, least_ratio, most_features)
+    return back(posteriors(docs, model), "tokens", "posterior")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, **classifier) -> DataFrame:
-    """docs with tokens, posterior, rate and copies. Texts are classified twice rather than written once more."""
+    """docs with tokens, posterior, rate and copies. They are stored with their posteriors rather than classified twice."""
     domains = (anchor, *(d for d in weights if d != anchor))
-    found = classified(docs, labelled, domains, **classifier)
-    return with_rates(found, stored(found.select("tokens", "posterior")), weights, domains)
-
-
-def fit_thinning(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], tolerance: float, most_steps: int) -> list[float]:
-    """The numbers m >= 0 of `thin`, one per domain but the first (the anchor), from docs (tokens, posterior)."""
-    n = len(domains) - 1
-    t, q = F.col("tokens"), excess(F.col("posterior"), domains, weights)
-
-    def sums(moved: list[float]) -> tuple[list[float], list[list[float]], float, float]:
-        z = 1 - step_of(q, moved)
-        r = F.greatest(F.lit(0.0), F.least(F.lit(1.0), z))
-        over = [F.sum(t * r * q[k]) for k in range(n)]
-        products = [F.sum(F.when(z.between(0, 1), t * q[i] * q[j]).otherwise(0.0)) for i in range(n) for j in range(n)]
-        value = F.sum(t * ((1 - r) * (1 - r) / 2 + r * step_of(q, moved)))
-        got = [float(x or 0) for x in docs.agg(value, F.sum(t * r * F.col("posterior")[0]), *over, *products).first()]
-        return got[2 : n + 2], [got[n + 2 + i * n : n + 2 + (i + 1) * n] for i in range(n)], got[0], got[1]
-
-    moved, scale = [0.0] * n, 1.0
-    over, gram, value, anchor = sums(moved)
-    whole = gram  # of all documents: keeps steps finite where few documents have a rate between the bounds
-    for _ in range(most_steps):
-        free = [k for k in range(n) if moved[k] > 0 or over[k] > 0]
-        if all(abs(over[k]) <= tolerance * anchor for k in free):
-            return moved
-        step = _solve([[gram[i][j] + 1e-3 * whole[i][j] for j in free] for i in free], [over[k] for k in free])
-        tried = list(moved)
-        for k, s in zip(free, step, strict=True):
-            tried[k] = max(0.0, moved[k] + scale * s)
-        new = sums(tried)
-        if new[2] >= value + 1e-4 * sum(o * (b - a) for o, a, b in zip(over, moved, tried, strict=True)):
-            moved, (over, gram, value, anchor), scale = tried, new, min(1.0, 4 * scale)
-        else:
-            scale /= 4
-    raise RuntimeError(f"rates are not within {tolerance} of the targets after {most_steps} steps: {over} of {anchor} tokens")
+    return with_rates(stored(classified(docs, labelled, domains, **classifier)), weights, domains)
 
 
 def excess(posterior: Column, domains: tuple[str, ...], weights: dict[str, float]) -> list[Column]:
@@ -259,25 +275,35 @@ def excess(posterior: Column, domains: tuple[str, ...], weights: dict[str, float
     return [posterior[k] - F.lit(weights[d] / weights[domains[0]]) * posterior[0] for k, d in enumerate(domains) if k]
 
 
-def step_of(q: list[Column], moved: list[float]) -> Column:
-    return sum((x * F.lit(m) for x, m in zip(q, moved, strict=True)), F.lit(0.0))
+def fit_thinning(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], tolerance: float, most_steps: int) -> list[list[float]]:
+    """The steps of the rates in 0..1, from docs (tokens, posterior)."""
+    anchor = float(docs.agg(F.sum(F.col("tokens") * F.col("posterior")[0])).first()[0] or 0)
+    scale = [anchor * weights[d] / weights[domains[0]] or 1.0 for d in domains[1:]]
+
+    def gaps_of(now: list[float]) -> list[float]:
+        return [max(0.0, s) for s in now]
+
+    steps, gaps = fit(docs, excess(F.col("posterior"), domains, weights), gaps_of, scale, 1.0, tolerance * anchor, most_steps)
+    if max(gaps) > tolerance * anchor and anchor > 0:
+        raise RuntimeError(f"rates are not within {tolerance} of the targets after {len(steps)} steps: {gaps} of {anchor} tokens")
+    return steps
 
 
 def thin(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, tolerance: float = 1e-4, most_steps: int = 60, seed: int = 7, **classifier
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, tolerance: float = 1e-4, most_steps: int = 200, seed: int = 7, **classifier
 ) -> DataFrame:
     """The docs that stay, each at most once, with tokens, posterior and rate."""
     domains = (anchor, *(d for d in weights if d != anchor))
-    found = classified(docs, labelled, domains, **classifier)
-    moved = fit_thinning(stored(found.select("tokens", "posterior")), domains, weights, tolerance, most_steps)
-    z = 1 - step_of(excess(F.col("posterior"), domains, weights), moved)
+    found = stored(classified(docs, labelled, domains, **classifier))
+    steps = fit_thinning(found.select("tokens", "posterior"), domains, weights, tolerance, most_steps)
+    rate = rate_of(excess(F.col("posterior"), domains, weights), steps, 1.0)
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return found.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.lit(1.0), z))).where(F.col("rate") + u >= 1)
+    return found.withColumn("rate", rate).where(F.col("rate") + u >= 1)
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = stored(classified(docs, domain_of(table(spark, sf_dir, "labels")), DOMAINS).drop("text"))
-    found = with_rates(found, found, WEIGHTS, DOMAINS)
+    found = with_rates(found, WEIGHTS, DOMAINS)
     p = F.col("posterior")
     return found.select("doc_id", "source", "tokens", *(p[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", "copies")

@@ -24,31 +24,81 @@ def test_query_meets_targets(spark):
     assert np.mean(right) > 0.9 and np.mean(lost) < 0.02
 
 
-def test_rates_are_the_least_squares_solution(spark):
-    """Against a dense projected Newton solution in numpy."""
+def dense(t, x, gaps_of, scale, most, within, steps):
+    """Projected gradients over dense arrays: a rate per row, the last gaps."""
+    t = t.astype(float)
+    gram = (x * t[:, None]).T @ x / np.sqrt(np.outer(scale, scale))
+    least = length = 1 / np.abs(gram).sum(1).max()
+    r = np.ones(len(t))
+    totals = (t * r) @ x
+    for _ in range(steps):
+        gap = gaps_of(totals)
+        if np.abs(gap).max() <= within:
+            break
+        new = np.clip(r - length * x @ (gap / scale), 0, most)
+        now = (t * new) @ x
+        then = gaps_of(now)
+        if (then**2 / scale).sum() > (gap**2 / scale).sum() and length > least:
+            length = least
+            continue
+        curve = ((now - totals) * (then - gap) / scale).sum()
+        length = max(least, (t * (new - r) ** 2).sum() / curve) if curve > 0 else least
+        r, totals = new, now
+    return r, gaps_of(totals)
+
+
+def sample(spark, n=400):
     r = np.random.default_rng(4)
-    p = r.dirichlet([0.5, 0.3, 0.3], 400)
-    t = r.integers(1, 500, 400)
-    frame = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, posterior array<double>")
-    weights = {"a": 0.7, "b": 0.2, "c": 0.1}
-    moved = m.fit_rates(frame, tuple(weights), weights, "a", 1e-9, 60)
-    rate = np.maximum(0, 1 - p @ moved)
-    grand = (t @ p)[0] / 0.7
-    assert np.allclose((t * rate) @ p, grand * np.array([0.7, 0.2, 0.1]), rtol=1e-6)
+    p = r.dirichlet([0.5, 0.3, 0.3], n)
+    t = r.integers(1, 500, n)
+    rows = [(int(a), [float(x) for x in b], k) for k, (a, b) in enumerate(zip(t, p, strict=True))]
+    return t, p, spark.createDataFrame(rows, "tokens long, posterior array<double>, k long")
+
+
+def test_rates_against_dense_projected_gradients(spark):
+    """Rate by rate against numpy; the targets are met, or, where no rates meet them, the gradient allows no descent."""
+    t, p, frame = sample(spark)
+    for weights in ({"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.05, "b": 0.05, "c": 0.9}, {"a": 0.85, "b": 0.1, "c": 0.05}):
+        steps = m.fit_rates(frame, tuple(weights), weights, "a", 1e-4, 100)
+        got = frame.select("k", m.rate_of(m.of_domain(tuple(weights)), steps, None).alias("r")).orderBy("k").collect()
+        rate = np.array([x.r for x in got])
+        grand = (t @ p)[0] / weights["a"]
+        target = grand * np.array(list(weights.values()))
+        want, gap = dense(t, p, lambda s, target=target: s - target, target, np.inf, 1e-4 * grand, 100)
+        assert np.allclose(rate, want, atol=1e-6) and (rate >= 0).all()
+        slope = p @ (((t * rate) @ p - target) / target)  # of half the scaled squares, per token
+        assert np.abs(gap).max() <= 1e-4 * grand or (np.abs(slope[rate > 1e-9]).max() < 1e-3 and (slope[rate <= 1e-9] > -1e-3).all())
+    assert np.allclose((t * rate) @ p / ((t * rate) @ p).sum(), target / target.sum(), atol=2e-2)
+
+
+def test_thinning_against_dense_projected_gradients(spark):
+    t, p, frame = sample(spark)
+    weights = {"a": 0.8, "b": 0.15, "c": 0.05}
+    steps = m.fit_thinning(frame, tuple(weights), weights, 1e-5, 100)
+    x = m.excess(m.F.col("posterior"), tuple(weights), weights)
+    rate = np.array([r.r for r in frame.select("k", m.rate_of(x, steps, 1.0).alias("r")).orderBy("k").collect()])
+    q = p[:, 1:] - np.array([0.15, 0.05]) / 0.8 * p[:, :1]
+    anchor = (t @ p)[0]
+    want, gap = dense(t, q, lambda s: np.maximum(0, s), anchor * np.array([0.15, 0.05]) / 0.8, 1.0, 1e-5 * anchor, 100)
+    assert np.allclose(rate, want, atol=1e-6) and gap.max() <= 1e-5 * anchor and (rate[(q <= 0).all(1)] == 1).all()
 
 
 def test_rows(spark):
-    schema = "doc_id long, text string, source string, rate string"
+    names = ("_f", "_z", "_once", "t", "r", "x0", "f", "n0")
+    schema = "doc_id long, text string, source string, rate string, " + ", ".join(f"{c} string" for c in names)
     docs = [(k, "plain words of a text" if k % 2 else "vile slur words", "s", "clash") for k in range(100)]
     docs += [(None, "plain", "s", ""), (200, None, None, ""), (201, "", "s", ""), (1, "plain words of a text", "s", "clash"), (202, "plain " * 100_000, "s", "")]
-    frame = spark.createDataFrame(docs, schema)
+    frame = spark.createDataFrame([(*d, *names) for d in docs], schema)
     labels = spark.createDataFrame([(k, 1, 1 - k % 2) for k in range(100)] + [(None, 1, 1), (7, None, 0), (999, 0, 0)], "doc_id long, quality int, toxic int")
     got = m.mix(frame, m.domain_of(labels), m.WEIGHTS, "clean").collect()
+    assert all(tuple(r[c] for c in names) == names for r in got)
     assert len(got) == len(docs) and all(r.rate >= 0 and abs(sum(r.posterior) - 1) < 1e-9 for r in got)
     assert {r.tokens for r in got if r.doc_id in (200, 201)} == {0}
     totals = sum(r.tokens * r.rate * np.array(r.posterior) for r in got)
     assert np.isclose(totals[2] / totals[0], 0.02 / 0.97, rtol=1e-2) and totals[1] < 1e-9  # no junk was labelled
     assert all(r.rate > 0.9 for r in got if r.text == "plain words of a text")
+    only = m.mix(frame, m.domain_of(labels.where("toxic = 1 or quality = 0")), m.WEIGHTS, "clean").collect()
+    assert all(r.posterior[0] < 1e-9 for r in only)  # nothing clean was labelled, so nothing is
     even = m.mix(frame, m.domain_of(labels.limit(0)), m.WEIGHTS, "clean").collect()
     assert all(np.allclose(r.posterior, 1 / 3) for r in even)
     assert m.mix(spark.createDataFrame([], schema), m.domain_of(labels), m.WEIGHTS, "clean").collect() == []
