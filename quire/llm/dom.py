@@ -7,20 +7,18 @@ import re
 
 import numpy as np
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!?/][^>]*+(?:>|\Z)"
-    r"|<[a-zA-Z][^<]*+\Z",
-    re.DOTALL,
-)
+#: A tag whose quotes close; `_tag_end` reads the others.
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+MARK = re.compile(r"[>\"']")
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
-#: Fixed values of HTML: elements without content, with raw content, without a rendered text, and inline ones.
+#: Fixed values of HTML: elements without content, with content that is no text of the page, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+RAW = frozenset("script style textarea title iframe template".split())
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr br img".split()
@@ -64,10 +62,11 @@ TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "hints", "parts", "order", "hidden")
+    __slots__ = ("tag", "parent", "children", "hints", "parts", "order", "hidden", "depth")
 
     def __init__(self, tag: str, parent: Node | None, hints: tuple[int, ...] = (), hidden: bool = False):
         self.tag, self.parent, self.hints, self.hidden = tag, parent, hints, hidden
+        self.depth = 0 if parent is None else parent.depth + 1
         self.children: list[Node] = []
         self.parts: list = []  # [text, linked] pieces and child nodes, in page order
         if parent is not None:
@@ -75,6 +74,68 @@ class Node:
             parent.parts.append(self)
 
 
+class _Open:
+    """The elements that are open, with the innermost of each tag at hand; every element is closed once."""
+
+    def __init__(self, root: Node):
+        self.node = root
+        self.by_tag: dict[str, list[Node]] = {root.tag: [root]}
+
+    def enter(self, node: Node) -> None:
+        self.node = node
+        self.by_tag.setdefault(node.tag, []).append(node)
+
+    def close(self, node: Node) -> None:
+        """Close node and all inside it; the root stays."""
+        while self.node is not node.parent and self.node.parent is not None:
+            self.by_tag[self.node.tag].pop()
+            self.node = self.node.parent
+
+    def innermost(self, tags) -> Node | None:
+        found = [self.by_tag[t][-1] for t in tags if self.by_tag.get(t)]
+        return max(found, key=lambda x: x.depth, default=None)
+
+    def outermost(self, tags, inside: int) -> Node | None:
+        """The outermost open element of the tags that lies deeper than `inside`."""
+        best = None
+        for t in tags:
+            for x in reversed(self.by_tag.get(t, ())):
+                if x.depth <= inside:
+                    break
+                best = x if best is None or x.depth < best.depth else best
+        return best
+
+
+class _Tags:
+    """Tags of a page. No quote is followed twice to find out that it does not close, so a page takes linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.open_quotes = page, page.rfind(">"), None
+
+    def at(self, start: int) -> tuple[str, str, int] | None:
+        """Name, attributes and end of the tag that begins here; None if none does."""
+        if start > self.last or not NAME.match(self.page, start):
+            return None
+        if self.open_quotes is None:
+            if m := TAG.match(self.page, start):
+                return m[1].lower(), m[2], m.end()
+            self.open_quotes = set()  # from here on, remember
+        name = NAME.match(self.page, start)
+        at, seen = name.end(), []
+        while m := MARK.search(self.page, at):
+            if m[0] == ">":
+                return name[1].lower(), self.page[name.end() : m.start()], m.end()
+            if m.start() in self.open_quotes:
+                break
+            seen.append(m.start())
+            close = self.page.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.open_quotes.update(seen)
+        return None
+
+
 def _attributes(raw: str) -> tuple[tuple[int, ...], bool]:
     hints, hidden = [], bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw))
     for name, a, b, c in ATTR.findall(raw):
@@ -88,68 +149,92 @@ def _attributes(raw: str) -> tuple[tuple[int, ...], bool]:
 
 
 def parse(page: str) -> Node:
-    """The tree of block-level nodes. Inline elements leave no node; their text goes to the block around them."""
-    root = node = Node("body", None)
-    inline: list[str] = []  # open inline elements of the current node
-    at, n = 0, len(page)
+    """The tree of block-level nodes. Inline elements leave no node; their text goes to the block around them.
+
+    Takes time in proportion to the page, whatever is unclosed, misnested or repeated in it.
+    """
+    root = Node("body", None)
+    open_, tags = _Open(root), _Tags(page)
+    links = foreign = 0  # open links of the current node; open svg and math elements
+    at, n, begin = 0, len(page), 0
+    closers: dict[str, re.Pattern] = {}
+    unclosed: set[str] = set()
 
     def text(a: int, b: int) -> None:
         if b > a:
-            node.parts.append((entities.unescape(page[a:b]), "a" in inline))
-
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            text(at, n)
-            break
-        text(at, m.start())
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["end"]:
-            if tag in INLINE:
-                if tag in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(tag)]
+            open_.node.parts.append((entities.unescape(page[a:b]), links > 0))
+
+    while (lt := page.find("<", at)) >= 0:
+        after = page[lt + 1 : lt + 2]
+        found = tags.at(lt) if after.isascii() and (after.isalpha() or after == "/") else None
+        if found is None:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                end = end + 3 if end >= 0 else n
+            elif after and after in "!?/":
+                end = page.find(">", lt)
+                end = end + 1 if end >= 0 else n
+            elif after.isascii() and after.isalpha() and page.find("<", lt + 1) < 0:
+                end = n  # a tag that the page's end cuts off
+            else:
+                at = lt + 1
                 continue
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node, inline = up.parent, []
+            text(begin, lt)
+            begin = at = end
+            continue
+        text(begin, lt)
+        tag, attrs, end = found
+        begin = at = end
+        if after == "/":
+            if tag == "a":
+                links = max(0, links - 1)
+            elif tag in FOREIGN:
+                foreign = max(0, foreign - 1)
+            elif tag not in INLINE and not (foreign and tag not in P_ENDS) and open_.by_tag.get(tag):
+                up = open_.by_tag[tag][-1]
+                if up.parent is not None:
+                    open_.close(up)
+                    links = 0
             continue
         if tag == "br":
-            node.parts.append((" ", False))
+            open_.node.parts.append((" ", False))
+            continue
+        own_end = attrs.rstrip().endswith("/")
+        if tag in RAW and not own_end:
+            # what is not closed ends the page; that is looked for once a tag
+            close = None if tag in unclosed else closers.setdefault(tag, re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE)).search(page, at)
+            if close is None:
+                unclosed.add(tag)
+            begin = at = close.end() if close else n
             continue
-        if tag in RAW and not m["attrs"].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = close.end() if close else n
+        if tag in FOREIGN:
+            foreign += not own_end
             continue
         if tag in VOID or tag in ("html", "head", "body"):
             continue
         if tag in INLINE:
-            inline.append(tag)
+            links += tag == "a"
             continue
-        if tag in P_ENDS:
-            up = node
-            while up is not None and up.tag not in ("p", "div", "article", "section", "td", "li", "body"):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                node, inline = up.parent, []
+        if foreign:
+            if tag not in P_ENDS:
+                continue  # an element of a formula or drawing: its text belongs to the block around it
+            foreign = 0
+        if tag in P_ENDS and open_.by_tag.get("p"):
+            # an open p has no other such element inside it, as each would have ended it
+            open_.close(open_.by_tag["p"][-1])
+            links = 0
         if tag in SAME:
             close, stop = SAME[tag]
-            up, last = node, None
-            while up is not None and up.tag not in stop:
-                if up.tag in close:
-                    last = up
-                    if tag != "tr":
-                        break
-                up = up.parent
-            if last is not None:
-                node, inline = last.parent, []
-        hints, hidden = _attributes(m["attrs"]) if m["attrs"] else ((), False)
-        node, inline = Node(tag, node, hints, hidden), []
+            scope = open_.innermost(stop)
+            inside = scope.depth if scope is not None else -1
+            last = open_.outermost(close, inside) if tag == "tr" else open_.innermost(close)
+            if last is not None and last.depth > inside:
+                open_.close(last)
+                links = 0
+        hints, hidden = _attributes(attrs) if attrs else ((), False)
+        open_.enter(Node(tag, open_.node, hints, hidden))
+        links = 0
+    text(begin, n)
     return root
 
 

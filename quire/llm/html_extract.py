@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +71,8 @@ def sample_page(r: np.random.Generator) -> str:
         return f'<{(t := pick("div", "div", "aside", "section"))}{attr("ad", "ads", "advert", "sponsored", "promo", "ad-box", p=1)}>{pick(sentence(8), prose(2), f"<p>{prose(2)}</p>", links(2, False))}</{t}>'
 
     def notice() -> str:
+        if chance(0.15):
+            return f"<noscript>{pick('', '<p>')}{prose(1)}</noscript>"
         return f'<div{attr("cookie-notice", "consent", "alert", "notice", "gdpr", "popup", p=1)}>{pick("", "<p>")}{prose(2)} <button>{words(1)}</button></div>'
 
     def form() -> str:
@@ -240,16 +243,23 @@ def _in_order(root: Node, kept: np.ndarray) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, html_col: str = "html", chunk: int = 200, train_pages: int = 500) -> DataFrame:
-    """pages with text and n_chars (its code points)."""
+def extract(pages: DataFrame, html_col: str = "html", chunk: int = 200, chunk_chars: int = 4_000_000, train_pages: int = 500) -> DataFrame:
+    """pages with text and n_chars (its code points). Up to `chunk` pages or about `chunk_chars` are in work at once."""
     pages = pages.drop("text", "n_chars")
     shared = pages.sparkSession.sparkContext.broadcast(trained(train_pages))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, chunk):
-                piece = batch.slice(k, chunk)
+            sizes = [n or 0 for n in pc.binary_length(batch.column(html_col)).to_pylist()]
+            k = 0
+            while k < batch.num_rows:
+                end, size = k, 0
+                while end < batch.num_rows and end - k < chunk and (end == k or size + sizes[end] <= chunk_chars):
+                    size += sizes[end]
+                    end += 1
+                piece = batch.slice(k, end - k)
+                k = end
                 texts = main_texts(piece.column(html_col).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

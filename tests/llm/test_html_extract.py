@@ -1,12 +1,14 @@
 import html
+import itertools
 import re
+import time
 
 import numpy as np
 
 from quire.llm import boosting
 from quire.llm import html_extract as h
 from quire.llm.common import table
-from quire.llm.dom import blocks, parse, preorder
+from quire.llm.dom import Node, blocks, parse, preorder
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "page_id long, url string, html string, text int"
@@ -61,6 +63,70 @@ def test_no_contradiction():
                 assert blocks(x) or any(out[c.order] for c in x.children)
 
 
+def test_every_labelling_of_small_trees():
+    """decode against all consistent labellings: a kept node's parent is kept, and it has text or a kept child."""
+    r = np.random.default_rng(7)
+    for _ in range(150):
+        root, all_ = Node("body", None), []
+        all_.append(root)
+        for _ in range(int(r.integers(0, 8))):
+            all_.append(Node("div", all_[int(r.integers(len(all_)))]))
+        for x in all_:
+            if r.random() < 0.5:
+                x.parts.append(("t", False))
+        nodes = preorder(root)
+        odds = r.normal(0, 2, len(nodes))
+
+        def value(kept, odds=odds):
+            return sum(-np.logaddexp(0, -o) if k else -np.logaddexp(0, o) for k, o in zip(kept, odds, strict=True))
+
+        def sound(kept, nodes=nodes):
+            return all(
+                not kept[x.order] or ((x.parent is None or kept[x.parent.order]) and (blocks(x) or any(kept[c.order] for c in x.children)))
+                for x in nodes
+            )
+
+        best = max(value(k) for k in itertools.product([False, True], repeat=len(nodes)) if sound(k))
+        got = h.decode(nodes, odds).tolist()
+        assert sound(got) and abs(value(got) - best) < 1e-9
+
+
+def test_first_split_is_the_best_one():
+    """One tree of depth one against every threshold of every feature."""
+    r = np.random.default_rng(3)
+    x = r.integers(0, 8, (200, 3)).astype(float)
+    y = (x[:, 1] + r.normal(0, 1, 200) > 4).astype(float)
+    model = boosting.fit(x, y, trees=1, depth=1, rate=1.0)
+    p = y.mean()
+    g, w = p - y, np.full(200, p * (1 - p))
+
+    def gain(j, c):
+        left = x[:, j] <= c
+        return sum(g[s].sum() ** 2 / (w[s].sum() + 1.0) for s in (left, ~left))
+
+    best = max(gain(j, c) for j in range(3) for c in range(7))
+    j, c = int(model["feature"][0][0]), float(model["threshold"][0][0])
+    assert np.isclose(gain(j, c), best) and j == 1
+
+
+def test_hostile_pages_take_linear_time():
+    n = 1_000_000
+    for piece in ("<a b='", "<a b=\"'", "<b>", "<a>", "</b></x>", "</x>", "<ul>", "<li><ul>", "<li></li>", "<p><x>", "<!--", "<", "<script>", "<svg>", "<td><tr>", "<x y='>", "<div>t"):
+        began = time.process_time()
+        preorder(parse("<table><p>" + piece * (n // len(piece)) + ">"))
+        assert time.process_time() - began < 10, piece
+
+
+def test_formulas_and_fallbacks():
+    def lines(page):
+        return [b for x in preorder(parse(page)) for b in blocks(x)]
+
+    assert lines("<p>see <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is <svg><path d='m'/><title>no</title></svg>so") == ["see x+1 is so"]
+    assert lines("<p>a<noscript><p>kept</noscript><object><p>too</object><svg><p>out") == ["a", "kept", "too", "out"]
+    assert lines("<p title='a > b' id=x>one</p> 1 < 2 <3 <p x='unclosed>two<p>three") == ["1 < 2 <3 <p x='unclosed>two", "one", "three"]
+    assert lines("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table>") == ["a", "b", "c", "d", "1", "2", "3"]
+
+
 def test_rows(spark):
     article = "<article><h1>T &amp; t</h1><p>One\n  two&nbsp;three, four five six seven.</p><p>Next <b>bold</b> words, and so on.</article>"
     nav = '<nav><a href="/">Home</a> <a href="/x">News</a></nav>'
