@@ -5,8 +5,10 @@ words of a benchmark item; an item of fewer words, but not none, is one window.
 hashes; each document's windows of the same lengths are looked up at once, each hit is verified word by word, and
 every word inside an occurrence counts as hit. Documents are scanned where they lie, without a shuffle.
 
-The set is broadcast only up to `block_bytes` of benchmark text at a time. A larger benchmark is cut into blocks of
-items; each block is one more narrow pass that extends the spans and items found so far.
+The set is flat arrays: the windows' hashes, sorted, with the item and the place of each in one byte string of all words,
+about 30 bytes a word. It is built and broadcast for at most `block_bytes` of benchmark text at a time. A larger benchmark
+is cut into blocks; each block is one more narrow pass that extends the spans and items found so far. An item longer than
+`piece_bytes` goes as pieces that overlap by all words of a window but one.
 
 Rows: a null or empty text has no words and is clean. A null item text has no window. A null item_id is the empty
 string. Items that share an item_id are one item. Columns besides the named ones are passed through untouched.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import set_apart, stored, table
 from .words import WordHash, benchmark_words, window_hashes
 
 #: Fixed value: a document is contaminated if 20 * n_hit >= n_words and n_hit > 0.
@@ -32,36 +35,93 @@ SHARE = 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def windows_of(items: list[tuple[str, str | None]], width: int) -> dict:
-    """The windows of some items, by length: sorted hashes, and hash -> [(words, items)]."""
-    seen, found = WordHash(), defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+class Windows(NamedTuple):
+    """Windows of one length, by hash: the item's number, and the first and last byte + 1 in the words of all items."""
+
+    hashes: np.ndarray
+    item: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+class Known(NamedTuple):
+    by_length: dict[int, Windows]
+    words: bytes
+    items: list[str]
+
+
+def windows_of(items: list[tuple[str, str | None]], width: int) -> Known:
+    """The windows of some items."""
+    seen, joined, at = WordHash(100_000), [], 0
+    names = sorted({item for item, _ in items})
+    number = {item: k for k, item in enumerate(names)}
+    found: dict[int, list[tuple]] = defaultdict(list)
     for item, text in items:
         words = benchmark_words((text or "").encode())
         n = min(width, len(words))
-        for i, h in enumerate(window_hashes(seen.of(words), n).tolist() if n else []):
-            found[n][h][tuple(words[i : i + n])].add(item)
-    return {
-        n: (np.array(sorted(by), np.uint64), {h: [(w, sorted(s)) for w, s in x.items()] for h, x in by.items()})
-        for n, by in found.items()
-    }
-
-
-def scan(known_windows: dict, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, set[str]]:
+        if not n:
+            continue
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first = at + np.cumsum(sizes + 1) - sizes - 1
+        joined.append(b" ".join(words) + b" ")
+        at += len(joined[-1])
+        own = window_hashes(seen.of(words), n)
+        m = len(own)
+        found[n].append((own, np.full(m, number[item], np.uint32), first[:m].astype(np.uint32), (first + sizes)[n - 1 :].astype(np.uint32)))
+    by_length = {}
+    for n in list(found):
+        whole = [np.concatenate(x) for x in zip(*found.pop(n), strict=True)]
+        order = np.argsort(whole[0], kind="stable")
+        by_length[n] = Windows(*(x[order] for x in whole))
+    return Known(by_length, b"".join(joined), names)
+
+
+def scan(known: Known, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, set[str]]:
     """Which words lie in an occurrence of a window, and whose windows occur."""
     depth, items = np.zeros(len(words) + 1, np.int64), set()
-    for n, (known, by) in known_windows.items():
+    for n, windows in known.by_length.items():
         own = window_hashes(hashes, n)
-        at = np.searchsorted(known, own)
-        at[at == len(known)] = 0
-        for i in np.flatnonzero(known[at] == own).tolist():
-            for w, who in by[int(own[i])]:
-                if tuple(words[i : i + n]) == w:
-                    depth[i] += 1
-                    depth[i + n] -= 1
-                    items.update(who)
+        at = np.searchsorted(windows.hashes, own)
+        at[at == len(windows.hashes)] = 0
+        for i in np.flatnonzero(windows.hashes[at] == own).tolist():
+            text, hit = b" ".join(words[i : i + n]), False
+            for k in range(int(at[i]), int(np.searchsorted(windows.hashes, own[i], "right"))):
+                if known.words[windows.first[k] : windows.last[k]] == text:
+                    hit = True
+                    items.add(known.items[windows.item[k]])
+            if hit:
+                depth[i] += 1
+                depth[i + n] -= 1
     return np.cumsum(depth[:-1]) > 0, items
 
 
+def _pieces(width: int, piece_bytes: int):
+    """Items as (item, text, size); a long one as overlapping pieces of whole words."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = [], []
+            for name, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text is None:
+                    continue
+                if len(text) <= piece_bytes // 4:  # a code point has four bytes at most
+                    names.append(name), texts.append(text)
+                    continue
+                words = benchmark_words(text.encode())
+                begin = 0
+                while begin < len(words):
+                    end, size = begin, 0
+                    while end < len(words) and (end - begin < 2 * width or size + len(words[end]) < piece_bytes):
+                        size += len(words[end]) + 1
+                        end += 1
+                    names.append(name), texts.append(b" ".join(words[begin:end]).decode())
+                    begin = end if end == len(words) else end - width + 1
+            sizes = [len(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["item", "text", "size"])
+
+    return part
+
+
 def _spans(hit: np.ndarray) -> list[list[int]]:
     edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
     return edge.reshape(-1, 2).tolist()
@@ -103,18 +163,19 @@ def _scanned(docs: DataFrame, windows, text_col: str) -> DataFrame:
     )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def find_hits(
+    docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str = "text", block_bytes: int = 8 << 20, piece_bytes: int = 1 << 20
+) -> DataFrame:
     """docs with n_words, n_hit, n_items, spans, items and contaminated, one row per row of docs, where it lies."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    total = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    blocks = -(-2 * (total[0] or 0) // block_bytes) or 1
-    if (total[1] or 0) > block_bytes:
-        raise ValueError(f"a benchmark item is longer than block_bytes={block_bytes}")
+    items = stored(items.mapInArrow(_pieces(width, min(piece_bytes, block_bytes)), "item string, text string, size long"))
+    total = items.agg(F.sum("size")).first()[0] or 0
+    blocks = -(-2 * total // block_bytes) or 1
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     docs = docs.drop(*FACTS, "n_hit", "n_items", "contaminated")
     for k in range(blocks):  # one block unless the benchmark is very large
-        rows = [(r[0], r[1]) for r in items.where(part == k).collect()]
+        rows = [(r[0], r[1]) for r in items.where(part == k).select("item", "text").collect()]
         docs = _scanned(docs, spark.sparkContext.broadcast(windows_of(rows, width)), text_col)
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])")
     return docs.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long")}).withColumn(
@@ -131,9 +192,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the rows whose text is contaminated. No shuffle; columns named like a fact keep their own values."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in (*FACTS, "n_hit", "n_items", "contaminated")}
-    found = find_hits(docs.withColumnsRenamed(clash), benchmark, **options).where("not contaminated")
-    return found.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
+    docs, back = set_apart(docs, "text")
+    return back(find_hits(docs, benchmark, **options).where("not contaminated"))
 
 
 def without_spans(text: str, spans: list[list[int]]) -> str:
@@ -149,10 +209,9 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs with every hit span cut out of its text; documents without a hit stay as they are."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in (*FACTS, "n_hit", "n_items", "contaminated")}
-    found = find_hits(docs.withColumnsRenamed(clash), benchmark, **options)
+    docs, back = set_apart(docs, "text")
+    found = find_hits(docs, benchmark, **options).select(*(F.col(f"`{c}`") for c in docs.columns), "spans")
     own = docs.columns
-    names = [clash.get(c, c) for c in own]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,10 +219,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                 without_spans(t, x) if x and t else t
                 for t, x in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
             ]
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in own]
             yield pa.RecordBatch.from_arrays(columns, own)
 
-    return found.select(*names, "spans").mapInArrow(part, docs.schema)
+    return back(found.mapInArrow(part, docs.schema))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

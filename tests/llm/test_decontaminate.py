@@ -1,3 +1,6 @@
+import random
+import tracemalloc
+
 import duckdb
 
 from quire.llm import decontaminate as d
@@ -16,6 +19,32 @@ def test_query_equals_sql(spark):
     assert any(r[2] for r in rows)
 
 
+def test_memory_of_a_block():
+    """8 MB of benchmark text as windows, on the driver and as what a worker holds."""
+    r = random.Random(2)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(50_000)]
+    items = [(str(k), " ".join(r.choices(vocabulary, k=150))) for k in range(8_400)]
+    assert sum(len(t) for _, t in items) > 8_000_000
+    tracemalloc.start()
+    known = d.windows_of(items, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = len(known.words) + sum(x.nbytes for w in known.by_length.values() for x in w)
+    print("peak MB", peak >> 20, "held MB", held >> 20)
+    assert peak < 200 << 20 and held < 60 << 20
+
+
+def test_long_items_as_pieces(spark):
+    """An item longer than a block, in pieces: every window of it is known."""
+    words = [f"w{k}" for k in range(5000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "two words")], "item_id long, text string")
+    docs = [(k, " ".join(words[k : k + 13])) for k in range(0, 4988, 31)] + [(-1, " ".join(words[7:19])), (-2, "x " * 2000 + " ".join(words))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in d.contamination(frame, bench, block_bytes=30_000, piece_bytes=2_000).collect()}
+    assert all(r.n_hit == 13 and r["items"] == ["1"] for k, r in got.items() if k >= 0)
+    assert got[-1].n_hit == 0 and got[-2].n_hit == 5000
+
+
 def test_rows(spark):
     item = " ".join(f"w{k}" for k in range(15))
     bench = spark.createDataFrame(
