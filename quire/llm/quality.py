@@ -7,8 +7,9 @@ For scoring, every row collapses to one number (its contribution to the log-odds
 by table look-ups over the whole text.
 
 The model is fitted on at most `train_rows` labelled documents, the ones with the smallest hash of doc_id; that bound
-is the only one. Their features are computed where the documents lie, and at most 65,536 (feature, count) pairs a
-document reach the driver. Labels, doc_id and every column other than the text stay out of the features.
+is the only one but for memory: if these have more than `most_pairs` (feature, count) pairs in all, the share of them that
+keeps within it is taken, by the same hash. Features are computed where the documents lie, and at most 65,536 pairs a
+document reach the driver. Of several texts under one doc_id, one is learned from. Labels, doc_id and every column other than the text stay out of the features.
 
 Rows: null, empty and very long texts are scored like any other (a text without features by the layer's bias alone).
 Labels that are null, or whose document is missing, are ignored; repeated documents are scored each. Without any
@@ -18,6 +19,7 @@ labelled row the score is 0.5 everywhere. Other columns pass through; one named
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import stored, table
 from .words import WordHash
 
 ROWS, DIM, EPOCHS, RATE = 1 << 16, 16, 12, 2.0
@@ -54,22 +56,27 @@ def features(text: bytes, seen: WordHash) -> np.ndarray:
     return np.concatenate([p.astype(np.uint16) for p in parts])
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 9) -> tuple[np.ndarray, float]:
-    """From (label, feature rows, counts): each row's contribution to the log-odds of label 1, and the bias."""
-    if not rows:
-        return np.zeros(ROWS, np.float32), 0.0
+class Parts(NamedTuple):
+    table: np.ndarray  # a vector per feature row
+    layer: np.ndarray  # a vector per class
+    bias: np.ndarray
+
+
+def learn(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 9, epochs: int = EPOCHS) -> Parts:
+    """Embeddings and softmax layer from (label, feature rows, counts), one document a step."""
     r = np.random.default_rng(seed)
     table = r.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    steps, at = EPOCHS * len(rows), 0
-    for _ in range(EPOCHS):
+    steps, at = epochs * len(rows), 0
+    for _ in range(epochs):
         for k in r.permutation(len(rows)):
             label, ids, counts = rows[k]
             rate = np.float32(RATE * (1 - at / steps))
             at += 1
             share = counts.astype(np.float32)
             share /= max(1, share.sum())
-            v = share @ table[ids] if len(ids) else np.zeros(DIM, np.float32)
+            own = table[ids]
+            v = share @ own if len(ids) else np.zeros(DIM, np.float32)
             z = layer @ v + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -77,7 +84,16 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 9) -> tuple[
             back = p @ layer
             layer -= rate * p[:, None] * v[None, :]
             bias -= np.float32(0.05) * rate * p
-            table[ids] -= rate * share[:, None] * back[None, :]
+            own -= rate * share[:, None] * back[None, :]
+            table[ids] = own
+    return Parts(table, layer, bias)
+
+
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 9) -> tuple[np.ndarray, float]:
+    """From (label, feature rows, counts): each row's contribution to the log-odds of label 1, and the bias."""
+    if not rows:
+        return np.zeros(ROWS, np.float32), 0.0
+    table, layer, bias = learn(rows, seed)
     return table @ (layer[1] - layer[0]), float(bias[1] - bias[0])
 
 
@@ -99,7 +115,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 4000):
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 4000, most_pairs: int = 40_000_000):
     """A model from the labelled rows outside the held-out fold; label values are 0 and 1."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     rows = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -108,6 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     counted = picked.mapInArrow(_counted, "doc_id long, label int, ids binary, counts binary")
     # repeated documents count once, so no more rows than labels reach the driver, and one partition at a time
     once = counted.groupBy("doc_id", "label").agg(F.min(F.struct("ids", "counts")).alias("f")).select("doc_id", "label", "f.*")
+    once = stored(once)
+    pairs = once.agg(F.sum(F.octet_length("ids") / 2)).first()[0] or 0
+    if pairs > most_pairs:
+        share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
+        once = once.where(share < most_pairs / pairs)
     found = [
         (r["doc_id"], r["label"], np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint16))
         for r in once.toLocalIterator()
