@@ -36,6 +36,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The most rows of a task that `packed` makes.
+PACKED = 1 << 19
+
+
+def packed(df: DataFrame, rows: int = PACKED) -> DataFrame:
+    """df, of narrow rows, stored, and read again in no more partitions than its rows fill (`rows` each)."""
+    return _packed(df, rows)[0]
+
+
+def _packed(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    df = stored(df)
+    parts = max(1, -(-df.count() // rows))
+    return df.coalesce(parts), parts
+
+
 def set_apart(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """df with every column but the used ones under a name that no operator has, and the way back.
 
@@ -178,22 +193,22 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node.
 
-    Alternates large-star and small-star steps until nothing changes, which takes a number of rounds logarithmic in the
-    longest path; before each round every task replaces the edges it has, a bounded number at a time, by stars of the
-    same connections. Every step is a join and a partially aggregated minimum. The minima are stored before they are
-    joined, so both sides of a join are plain shuffles: a node with very many links is then a skew that adaptive execution
-    splits (or, while the minima are few, broadcasts away), not one task's list. Nodes without an edge to another node do
-    not appear. Each step is checkpointed.
+    Every task replaces the edges it has, at most CONTRACTED at a time, by stars of the same connections. Where all edges
+    fit one such step, that is the result. Else large-star and small-star steps alternate with it until nothing changes,
+    which takes a number of rounds logarithmic in the longest path. A step is a join and a partially aggregated minimum. The
+    minima are stored before they are joined, so both sides of a join are plain shuffles: a node with very many links is then
+    a skew that adaptive execution splits (or, while the minima are few, broadcasts away), not one task's list. Nodes
+    without an edge to another node do not appear. Each step is checkpointed.
     """
-
-    def contracted(e: DataFrame) -> DataFrame:
-        return stored(e.distinct().mapInArrow(_contracted, "u long, v long"))
-
-    e = contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    seen = _print_of(e)
+    e, parts = _packed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), CONTRACTED)
+    seen = None
     for _ in range(most_rounds):
-        if not seen[0]:
+        one = parts == 1
+        e = packed(e.mapInArrow(_contracted, "u long, v long"), CONTRACTED)
+        now = None if one else _print_of(e)
+        if one or now == seen:
             break
+        seen = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         # large star: every larger neighbour of a node links to the node's least neighbour
@@ -202,11 +217,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours link to the least of them
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = contracted(low.select("u", F.col("m").alias("v")).union(rest))
-        now = _print_of(e)
-        if now == seen:
-            break
-        seen = now
+        e, parts = _packed(low.select("u", F.col("m").alias("v")).union(rest).distinct(), CONTRACTED)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

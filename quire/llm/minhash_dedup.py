@@ -4,9 +4,9 @@ A document is the set of its distinct five-word shingles (words: runs of anythin
 A-Z lower-cased; a text of fewer words is one shingle; a text without words, empty or null, is the empty set).
 Two documents link if |A and B| / |A or B| >= threshold; groups are the components of the links.
 
-1. One scan makes for every document a digest of its word sequence, its set size and 224 MinHash values.
+1. One scan makes for every document a digest of its word sequence, its set size and 96 MinHash values.
    Texts of one word sequence become one representative, by a partially aggregated minimum.
-2. The forest: 28 signature orders of 8 values each. All orders are one range sort of (order, label, doc_id).
+2. The forest: 16 signature orders of 6 values each. All orders are one range sort of (order, label, node).
    In an order, documents whose labels share a prefix of at least 4 values form a region. A region of more than
    `region_rows` rows is split by the next value, and so on (adaptive depth); at full depth it goes in windows
    that are joined whole. Within a region, rows whose estimated similarity and set sizes allow a link become
@@ -23,9 +23,9 @@ Two documents link if |A and B| / |A or B| >= threshold; groups are the componen
    size; only rows that resemble each other without a link cost more.
 4. Components of confirmed links, then the copies of each representative.
 
-A pair at the threshold 0.85 shares a region of depth 8 in at least one order with probability
-1 - (1 - 0.85^8)^28 = 0.9998, so a region's size does not decide what is found; of depth 4 with all but 1e-9. The
-similarity is estimated from the first 96 values; its bound lies four deviations below the threshold.
+A pair at the threshold 0.85 shares a region of depth 6 in at least one order with probability
+1 - (1 - 0.85^6)^16 = 0.9995, so a region's size does not decide what is found; of depth 4 with all but 8e-6. The
+similarity is estimated from all 96 values; its bound lies four deviations below the threshold.
 
 Rows: null, empty and blank texts link with nothing. A document is a doc_id with a text: rows that share a doc_id and differ
 in their words are nodes of their own, and each has its own component_id. A null doc_id links with nothing, its
@@ -43,12 +43,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_run, components, filtered, parted, set_apart, stored, table
+from .common import by_run, components, filtered, packed, parted, set_apart, stored, table
 from .words import WordHash, shingle_words, shingles
 
-ORDERS, DEPTH, LEAST_DEPTH = 28, 8, 4
+ORDERS, DEPTH, LEAST_DEPTH = 16, 6, 4
 HASHES = ORDERS * DEPTH
-#: The values, of the first orders, that estimate a pair's similarity and travel with every row of the forest.
+#: The values that estimate a pair's similarity and travel, as a byte each, with every row of the forest.
 ESTIMATED = 96
 
 
@@ -59,7 +59,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(s: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The 224 MinHash values of a set of hashes, 16 low bits of each."""
+    """The 96 MinHash values of a set of hashes, 16 low bits of each."""
     a, b = functions
     least = np.full(HASHES, np.uint64(2**64 - 1))
     for k in range(0, len(s), 2048):
@@ -274,18 +274,18 @@ HUBS_A_TASK = 128
 def _large_groups(rows: DataFrame, confirm, hubs: int) -> DataFrame:
     """Links (a, b) of groups of several blocks; rows: (component, blocks, block, node, lows, text), stored. See the module."""
     spark = rows.sparkSession
-    narrow = rows.select("component", "node", "lows")
+    narrow = packed(rows.select("component", "node", "lows"))
     links = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "component long, node long")
     open_ = narrow
     for turn in range(64):
         count = open_.groupBy("component").agg(F.count("*").alias("n"))
-        slots = stored(count.select("component", F.least(F.col("n"), F.lit(hubs)).cast("int").alias("slots")))
+        slots = packed(count.select("component", F.least(F.col("n"), F.lit(hubs)).cast("int").alias("slots")))
         if slots.isEmpty():
             return links
         sample = open_.groupBy("component", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(64)).alias("place"))
         sample = sample.agg(F.max_by("lows", F.xxhash64("node", F.lit(-turn))).alias("lows"))
-        wanted = stored(by_run(sample.select("component", "lows"), ["component"], _consensus, "component long, consensus binary"))
+        wanted = packed(by_run(sample.select("component", "lows"), ["component"], _consensus, "component long, consensus binary"))
         scored = open_.join(wanted, "component").join(slots, "component").select("component", "node", "slots", "lows", "consensus")
         scored = scored.mapInArrow(_agreement, "component long, node long, slots int, agreed int")
         # every row where they are few, else the best of each of `hubs` shares
@@ -294,22 +294,22 @@ def _large_groups(rows: DataFrame, confirm, hubs: int) -> DataFrame:
         slot = F.pmod(place, F.lit(hubs)).cast("int")
         best = scored.where(F.col("slots") == hubs).groupBy("component", slot.alias("slot")).agg(F.max(F.struct("agreed", "node")).alias("best"))
         best = best.select("component", F.col("best.node").alias("node"), F.floor(F.col("slot") / HUBS_A_TASK).cast("int").alias("chunk"))
-        chosen = stored(few.union(best))
-        chunks = stored(chosen.groupBy("component").agg((F.max("chunk") + 1).alias("chunks")))
+        chosen = packed(few.union(best))
+        chunks = packed(chosen.groupBy("component").agg((F.max("chunk") + 1).alias("chunks")))
         every = rows.join(chunks, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         every = every.select("component", "block", "chunk", "node", F.lit(False).alias("hub"), "text")
         picked = rows.join(chosen, ["component", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         picked = picked.select("component", "block", "chunk", "node", F.lit(True).alias("hub"), "text")
         found = by_run(every.union(picked), ["component", "block", "chunk"], confirm, "a long, b long")
-        joined = stored(components(links.union(found)))
+        joined = components(links.union(found))
         links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        done = stored(done.union(chosen.select("component", "node")))
+        done = packed(done.union(chosen.select("component", "node")))
         named = narrow.join(joined.withColumnRenamed("component", "label"), "node", "left")
-        named = stored(named.select("component", "node", "lows", F.coalesce("label", "node").alias("label")))
+        named = packed(named.select("component", "node", "lows", F.coalesce("label", "node").alias("label")))
         sizes = named.groupBy("component", "label").agg(F.count("*").alias("n"))
-        largest = stored(sizes.groupBy("component").agg(F.max(F.struct("n", "label")).alias("m")).select("component", F.col("m.label").alias("label")))
+        largest = packed(sizes.groupBy("component").agg(F.max(F.struct("n", "label")).alias("m")).select("component", F.col("m.label").alias("label")))
         rest = named.join(largest, ["component", "label"], "left_anti").select("component", "node", "lows")
-        open_ = stored(rest.join(done, ["component", "node"], "left_anti"))
+        open_ = packed(rest.join(done, ["component", "node"], "left_anti"))
         hubs *= 4
     raise RuntimeError("a candidate group was not told apart in 64 rounds")
 
@@ -412,7 +412,7 @@ def near_duplicates(
     width: int = 5,
     threshold: tuple[int, int] = (85, 100),
     region_rows: int = 2048,
-    block_rows: int = 512,
+    block_rows: int = 1024,
     block_shingles: int = 4_000_000,
     hubs: int = 64,
 ) -> DataFrame:
@@ -426,7 +426,7 @@ def remove_near_duplicates(
     width: int = 5,
     threshold: tuple[int, int] = (85, 100),
     region_rows: int = 2048,
-    block_rows: int = 512,
+    block_rows: int = 1024,
     block_shingles: int = 4_000_000,
     hubs: int = 64,
 ) -> DataFrame:

@@ -53,7 +53,7 @@ def check(spark, docs, **options):
         assert r.kept == (r.doc_id == r.component_id)
 
 
-@pytest.mark.parametrize("options", [{}, {"region_rows": 16, "block_rows": 8}])
+@pytest.mark.parametrize("options", [{}, {"region_rows": 16, "block_rows": 32}])
 def test_against_brute_force(spark, options):
     """Groups of near copies around the threshold, a large one among them; small regions and blocks change nothing."""
     r = np.random.default_rng(1)
@@ -116,7 +116,12 @@ def test_query_over_table(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 19, 16])
+def test_components(spark, monkeypatch, most):
+    """In one step, and in rounds of stars where a task contracts few edges at a time."""
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "CONTRACTED", most)
     chain = [(k, k + 1) for k in range(100, 160)] + [(1, 2), (2, 1), (3, 3), (9, 5), (5, 7), (7, 9)]
     got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {k: 100 for k in range(101, 161)} | {2: 1, 7: 5, 9: 5}
