@@ -201,3 +201,16 @@ def glyph_box(advance: Column, font_box: Column, floor_box: Column, stroke: Colu
 def stroke_reach(line_width: Column, mitre: Column, mitred: Column) -> Column:
     """How far a stroke paints beyond its path: half the width, times the mitre limit where joins are mitred."""
     return F.abs(line_width) / 2 * F.when(mitred, F.greatest(mitre, F.lit(1.0))).otherwise(1.0)
+
+
+#: Fixed value: the margin, in pixels, of the rectangle that a check derives for itself.
+CHECK_MARGIN = 1
+
+
+def check_rectangle(region: Column, display: tuple[Column, Column], size: tuple[Column, Column]) -> Column:
+    """A region (left, top, width, height in points of the display) in pixels, by scaling alone; null if empty or not placeable."""
+    across, down = size[0] / display[0], size[1] / display[1]
+    right, bottom = region["left"] + region["width"], region["top"] + region["height"]
+    corners = [(region["left"] * across, region["top"] * down), (right * across, bottom * down)]
+    usable = finite(region["left"]) & finite(region["top"]) & finite(region["width"]) & finite(region["height"])
+    return F.when(usable & (region["width"] > 0) & (region["height"] > 0), paint_rectangle(corners, *size, CHECK_MARGIN))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The default ceilings, the stages in order, the kinds of error.
@@ -121,3 +121,13 @@ def recycle(heaps: Column, max_memory: Column, shift: int, floor: int) -> Column
     """Is any heap above the smaller of max_memory / 2^shift and the floor?"""
     bound = F.least(F.shiftright(max_memory, shift), F.lit(floor))
     return F.exists(heaps, lambda x: x > bound)
+
+
+def typed_errors(calls: DataFrame, codes: DataFrame) -> DataFrame:
+    """Failed engine calls (..., code) with the kind of their error, from a dimension table (code, kind).
+
+    A code that the table lacks, and a failure that reports success (code 0), are internal errors.
+    """
+    known = codes.select("code", F.col("kind").alias("_kind"))
+    kind = F.when(F.col("code") == 0, "Internal").otherwise(F.coalesce("_kind", F.lit("Internal")))
+    return calls.join(known, "code", "left").withColumn("kind", kind).drop("_kind")

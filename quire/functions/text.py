@@ -38,6 +38,20 @@ def name_error(canonical: Column) -> Column:
     )
 
 
+#: Fixed value: the longest name, as written, that all readers take.
+MOST_NAME_WRITTEN = 255
+
+
+def reads_alike(written: Column, following: Column) -> Column:
+    """Would all readers take this name, as written without its slash, for the same one? following: the character after it.
+
+    Escapes have two hex digits of one case and are not 00; white space, delimiters and the bytes 80 and FF end it.
+    """
+    plain = r"[^#\x00\t\n\f\r ()<>\[\]{}/%\x80\xff]"
+    escape = r"#(?!00)(?:[0-9a-f]{2}|[0-9A-F]{2})"
+    return written.rlike(rf"\A(?:{plain}|{escape})+\z") & (F.length(written) <= MOST_NAME_WRITTEN) & ~following.eqNullSafe(F.lit("\x0b"))
+
+
 def encode_literal(text: Column) -> Column:
     pairs = (("\\", "\\\\"), ("(", "\\("), (")", "\\)"), ("\n", "\\n"), ("\r", "\\r"))
     body = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, text)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import outcome as o
+from ..functions.geometry import pixels_at_dpi
 
 
 def page_count(pages: DataFrame) -> DataFrame:
@@ -156,8 +157,8 @@ def rotate(pages: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]
     Checked in order: degrees a multiple of 90; pages named, each once, none before the first or past the end; a named
     page whose own rotation is no multiple of 90. Such a rotation on other pages is carried through.
     """
-    odd = pages.where(F.coalesce(F.col("rotation") % 90 != 0, F.lit(False))).groupBy("doc_id").agg(F.collect_set("page_no").alias("odd"))
-    known = requests.join(page_count(pages), "doc_id", "left").join(odd, "doc_id", "left")
+    odd = F.collect_set(F.when(F.col("rotation") % 90 != 0, F.col("page_no"))).alias("odd")
+    known = requests.join(pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), odd), "doc_id", "left")
     s = F.col("selected")
     error = o.first_error(
         o.refused(F.col("degrees") % 90 != 0, "InvalidArgument", "degrees"),
@@ -203,3 +204,33 @@ def compress_choice(original_bytes: Column, produced_bytes: Column) -> Column:
         F.when(smaller, produced_bytes).otherwise(original_bytes).alias("kept_bytes"),
         smaller.alias("verified"),
     )
+
+
+def flattened(pages: DataFrame, requests: DataFrame, dpi: int = 150) -> tuple[DataFrame, DataFrame]:
+    """requests: rows (doc_id, page_no, width, height), a page and its displayed size in points. The page becomes a picture.
+
+    Pages carry `picture` (width and height in pixels, null for the others); a picture has no text and rotation 0. A page past
+    the end and a picture beyond the ceilings are refused.
+    """
+    wide, high = pixels_at_dpi(F.col("width"), dpi), pixels_at_dpi(F.col("height"), dpi)
+    known = requests.withColumnRenamed("page_no", "_page").join(page_count(pages), "doc_id", "left")
+    error = o.first_error(
+        o.refused((F.col("_page") < 1) | (F.col("_page") > F.coalesce("n_pages", F.lit(0))), "InvalidArgument", "past-end"),
+        o.flatten_gate(wide, high),
+    )
+    known = known.select("doc_id", "_page", "n_pages", F.struct(wide.alias("width"), high.alias("height")).alias("_picture"), error.alias("error"))
+    good = known.where("error is null").select("doc_id", "_page", "_picture")
+    hit = F.col("page_no") == F.col("_page")
+    made = pages.join(good, "doc_id").withColumns(
+        {
+            "rotation": F.when(hit, 0).otherwise(F.col("rotation")),
+            "body": F.when(~hit, F.col("body")),
+            "picture": F.when(hit, F.col("_picture")),
+        }
+    )
+    return made.drop("_page", "_picture"), known.select("doc_id", "n_pages", "error")
+
+
+def drawn_annotations(annotations: DataFrame, requests: DataFrame) -> DataFrame:
+    """Annotations (doc_id, ...) that a rendering draws: none, unless the request (doc_id, annotations) asks for them."""
+    return annotations.join(requests.where("annotations").select("doc_id").distinct(), "doc_id", "left_semi")

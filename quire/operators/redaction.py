@@ -19,25 +19,15 @@ def box_of(side_columns: tuple[str, ...] = g.SIDES) -> Column:
     return g.rect(*(F.col(c) for c in side_columns))
 
 
-def selected_glyphs(glyphs: DataFrame, regions: DataFrame, cell: float | None = None) -> DataFrame:
+def selected_glyphs(glyphs: DataFrame, regions: DataFrame) -> DataFrame:
     """glyphs whose box intersects a region of their page; regions: rows (doc_id, page_no, region: rect).
 
-    The page is the equi-join key, so the range predicate is checked only within a page. A page with very many glyphs
-    and regions is cut into cells of that height: boxes are listed in each cell they meet, and the predicate is
-    re-applied. A glyph counts once, however many regions take it.
+    A semi join: the page is the equi-join key, so the range predicate is checked only within a page; every glyph row stays
+    as often as it is there, however many regions take it, and nothing is shuffled a second time to make it so.
     """
-    boxed = glyphs.withColumn("_box", box_of())
-    if cell is None:
-        hit = boxed.alias("g").join(regions.alias("r"), PAGE).where(g.intersects(F.col("_box"), F.col("region")))
-    else:
-        def rows(r: Column) -> Column:
-            ok = g.finite(r["bottom"]) & g.finite(r["top"])
-            return F.when(ok, F.sequence(F.floor(r["bottom"] / cell), F.floor(r["top"] / cell))).otherwise(F.array())
-
-        a = boxed.withColumn("_cell", F.explode(rows(F.col("_box"))))
-        b = regions.withColumn("_cell", F.explode(rows(F.col("region"))))
-        hit = a.join(b, [*PAGE, "_cell"]).where(g.intersects(F.col("_box"), F.col("region")))
-    return hit.select(*(F.col(c) for c in glyphs.columns)).distinct()
+    there = regions.select(*(F.col(c).alias(f"_{c}") for c in PAGE), "region")
+    hit = (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_no") == F.col("_page_no")) & g.intersects(box_of(), F.col("region"))
+    return glyphs.join(there, hit, "left_semi")
 
 
 def ink_refusals(ink: DataFrame, regions: DataFrame) -> DataFrame:
@@ -139,3 +129,57 @@ def removed_annotations(annotations: DataFrame, regions: DataFrame) -> DataFrame
     """Annotations (doc_id, page_no, annotation, left .. top) in a region; their dependants follow by trees.closure."""
     hit = annotations.join(regions, PAGE).where(g.intersects(box_of(), F.col("region")))
     return hit.select("doc_id", F.col("annotation").alias("node")).distinct()
+
+
+def document_refusals(catalogs: DataFrame, objects: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows (doc_id, error): what lies outside a page but tells of it, and so refuses the whole document.
+
+    catalogs: rows (doc_id, keys); objects: rows (doc_id, num, kind, keys, type, drops_null); marked: rows (doc_id, tag) of the
+    marked content drawn. Judged in this order: an interactive form, or a field; a structure tree, or an element of one; a null
+    value that a writer would drop; optional content of an object; optional content in marked content.
+    """
+
+    def any_of(condition: Column) -> Column:
+        return F.max(F.when(condition, 1).otherwise(0))
+
+    held = F.col("kind").isin("dictionary", "stream")
+    facts = objects.groupBy("doc_id").agg(
+        any_of(held & F.array_contains("keys", "FT")).alias("field"),
+        any_of(held & F.col("type").isin("StructTreeRoot", "StructElem")).alias("element"),
+        any_of(F.col("drops_null")).alias("null"),
+        any_of(held & (F.array_contains("keys", "OC") | F.col("type").isin("OCG", "OCMD"))).alias("optional"),
+    )
+    shown = marked.groupBy("doc_id").agg(any_of(F.col("tag") == "OC").alias("shown"))
+    known = catalogs.join(facts, "doc_id", "left").join(shown, "doc_id", "left")
+    error = o.first_error(
+        o.refused(F.array_contains("keys", "AcroForm") | (F.col("field") == 1), "Unsupported", "acroform-field"),
+        o.refused(F.array_contains("keys", "StructTreeRoot") | (F.col("element") == 1), "Unsupported", "structure-tree"),
+        o.refused(F.col("null") == 1, "Unsupported", "null-value"),
+        o.refused(F.col("optional") == 1, "Unsupported", "optional-content"),
+        o.refused(F.col("shown") == 1, "Unsupported", "optional-content-marked"),
+    )
+    return known.select("doc_id", error.alias("error")).where("error is not null")
+
+
+#: Operators that show text, and that paint, inside a glyph procedure.
+SHOWS, PAINTS = ("Tj", "TJ", "'", '"'), ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "sh", "Do", "EI")
+
+
+def type_three(drawn: DataFrame, fonts: DataFrame, procedures: DataFrame) -> DataFrame:
+    """Rows (doc_id, font, paints, error) of the drawn Type 3 fonts: procedures that show text are refused, others may paint.
+
+    drawn: rows (doc_id, font); fonts: rows (doc_id, font, subtype); procedures: rows (doc_id, font, operator).
+    """
+    three = fonts.where("subtype = 'Type3'").join(drawn.select("doc_id", "font").distinct(), ["doc_id", "font"], "left_semi").select("doc_id", "font").distinct()
+    used = procedures.groupBy("doc_id", "font").agg(
+        F.max(F.col("operator").isin(*SHOWS)).alias("shows"), F.max(F.col("operator").isin(*PAINTS)).alias("paints")
+    )
+    error = o.refused(F.col("shows"), "Unsupported", "type3-shows-text")
+    return three.join(used, ["doc_id", "font"], "left").select("doc_id", "font", F.coalesce("paints", F.lit(False)).alias("paints"), error.alias("error"))
+
+
+def paint_disagreements(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """Rows (image, n): pixels (image, x, y, r, g, b) inside an image's rectangle (image, rect) that are not painted black."""
+    inside = (F.col("x") >= F.col("rect.left")) & (F.col("x") < F.col("rect.right")) & (F.col("y") >= F.col("rect.top")) & (F.col("y") < F.col("rect.bottom"))
+    bare = (F.col("r") != 0) | (F.col("g") != 0) | (F.col("b") != 0)
+    return pixels.join(rectangles, "image").where(inside & bare).groupBy("image").agg(F.count("*").alias("n"))

@@ -19,11 +19,14 @@ MOST_DEPTH, MOST_ROUNDS = 64, 33
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that spark.checkpoint.dir names; a folder of its own only where that is unset."""
+    """df written to the shared folder that spark.checkpoint.dir names; where that is unset, a single machine's own folder."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoints-"))
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -31,23 +34,44 @@ def inherited(nodes: DataFrame, value: str, most_depth: int = MOST_DEPTH) -> Dat
     """Rows (doc_id, node, value, levels, error): the nearest declared value up the parents, null if none declares it.
 
     nodes: rows (doc_id, node, parent, <value>). A path longer than most_depth, as in a cycle, is refused.
-    Every level is one equi-join on (doc_id, node); nodes that have found a value leave the loop.
+    Pointer jumping: each round joins the open nodes with what the nodes they have reached know, so the reach doubles
+    and a tree of depth 64 takes seven joins.
     """
-    up = nodes.select("doc_id", F.col("node").alias("_at"), F.col("parent").alias("_up"), F.col(value).alias("_value"))
-    open_ = nodes.select("doc_id", "node", F.col("parent").alias("at"), F.col(value).alias("value"))
-    done = open_.where("value is not null or at is null").select("doc_id", "node", "value", F.lit(0).alias("levels"))
-    open_ = checkpointed(open_.where("value is null and at is not null").select("doc_id", "node", "at"))
-    level = 0
-    while not open_.isEmpty() and level < most_depth:
-        level += 1
-        step = open_.alias("o").join(up.alias("u"), (F.col("o.doc_id") == F.col("u.doc_id")) & (F.col("at") == F.col("_at")), "left")
-        step = step.select("o.doc_id", "node", F.col("_up").alias("at"), F.col("_value").alias("value"))
-        step = checkpointed(step)
-        done = done.union(step.where("value is not null or at is null").select("doc_id", "node", "value", F.lit(level).alias("levels")))
-        open_ = step.where("value is null and at is not null").select("doc_id", "node", "at")
-    failed = open_.select("doc_id", "node", F.lit(None).alias("value"), F.lit(level).alias("levels"))
-    too_deep = o.error("Malformed", "page-tree-too-deep")
-    return done.withColumn("error", F.lit(None).cast(o.ERROR)).union(failed.withColumn("error", too_deep))
+    known = F.col("value").isNotNull() | F.col("at").isNull()
+    state = nodes.select("doc_id", "node", F.col("parent").alias("at"), F.col(value).alias("value"))
+    state = state.select("doc_id", "node", F.when(~known, F.col("at")).alias("at"), "value", F.when(known, 0).otherwise(1).alias("levels"))
+    state = checkpointed(state)
+    reached = 1
+    while reached <= most_depth and not state.where("at is not null").isEmpty():
+        up = state.select("doc_id", F.col("node").alias("_at"), F.col("at").alias("_up"), F.col("value").alias("_value"), F.col("levels").alias("_levels"))
+        step = state.where("at is not null").alias("o").join(up.alias("u"), (F.col("o.doc_id") == F.col("u.doc_id")) & (F.col("at") == F.col("_at")), "left")
+        levels = F.col("levels") + F.coalesce("_levels", F.lit(0))
+        step = step.select("o.doc_id", "node", F.col("_up").alias("at"), F.col("_value").alias("value"), levels.alias("levels"))
+        state = checkpointed(state.where("at is null").union(step))
+        reached *= 2
+    deep = F.col("at").isNotNull() | (F.col("levels") > most_depth)
+    return state.select(
+        "doc_id", "node", F.when(~deep, F.col("value")).alias("value"), F.when(deep, most_depth).otherwise(F.col("levels")).alias("levels"),
+        o.refused(deep, "Malformed", "page-tree-too-deep").alias("error"),
+    )
+
+
+def placement(nodes: DataFrame, pages: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """Where the pages (doc_id, node) that are to be replaced hang in the tree: rows (doc_id, node, parent, place, depth, error).
+
+    nodes: rows (doc_id, node, parent, ord); place: the position among the parent's kids, from 0. A page that is not in
+    the tree, or lies deeper than most_depth, is refused.
+    """
+    wanted = pages.select("doc_id", "node").distinct()
+    roots = nodes.select("doc_id", "node", "parent", F.when(F.col("parent").isNull(), 1).alias("root"))
+    depth = inherited(roots, "root", most_depth).select("doc_id", "node", F.col("levels").alias("depth"), "error")
+    own = nodes.join(wanted, ["doc_id", "node"], "left_semi").select("doc_id", "node", "parent", "ord")
+    kids = nodes.select("doc_id", F.col("parent").alias("_p"), F.col("ord").alias("_ord"))
+    before = own.join(kids, (own["doc_id"] == kids["doc_id"]) & (F.col("parent") == F.col("_p")) & (F.col("_ord") < F.col("ord")), "left")
+    place = before.groupBy(own["doc_id"], "node", "parent").agg(F.count("_ord").alias("place"))
+    found = wanted.join(place, ["doc_id", "node"], "left").join(depth, ["doc_id", "node"], "left")
+    error = o.first_error(F.col("error"), o.refused(F.col("depth").isNull(), "Malformed", "page-not-in-tree"))
+    return found.select("doc_id", "node", "parent", "place", "depth", error.alias("error"))
 
 
 def closure(seeds: DataFrame, edges: DataFrame, most_levels: int = 10_000) -> DataFrame:
@@ -109,15 +133,14 @@ def use_counts(base: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS
 
 
 def shared_arrays(pages: DataFrame) -> DataFrame:
-    """Rows (doc_id, page_no, shared_with): pages whose array has the same identity; a direct array (0, 0) never has.
+    """Rows (doc_id, page_no, num, gen, n_pages): pages whose array other pages have too; a direct array (0, 0) is nobody's.
 
-    pages: rows (doc_id, page_no, num, gen). One grouping by identity, joined back, instead of all pairs of pages.
+    pages: rows (doc_id, page_no, num, gen). The identity names the group, and n_pages counts its pages: a row a page, however
+    many share it.
     """
-    real = pages.where("not (num = 0 and gen = 0)")
-    groups = real.groupBy("doc_id", "num", "gen").agg(F.array_sort(F.collect_set("page_no")).alias("_all")).where("size(_all) > 1")
-    return real.join(groups, ["doc_id", "num", "gen"]).select(
-        "doc_id", "page_no", F.array_except("_all", F.array("page_no")).alias("shared_with")
-    )
+    real = pages.where("not (num = 0 and gen = 0)").select("doc_id", "page_no", "num", "gen")
+    groups = real.groupBy("doc_id", "num", "gen").agg(F.countDistinct("page_no").alias("n_pages")).where("n_pages > 1")
+    return real.join(groups, ["doc_id", "num", "gen"]).select("doc_id", "page_no", "num", "gen", "n_pages")
 
 
 def pruned_resources(resources: DataFrame, used: DataFrame, known: list[str], kept_keys: tuple[str, ...] = ("ProcSet",)) -> DataFrame:
@@ -224,6 +247,24 @@ def pages_outside(pages: Column, redacted: Column) -> Column:
     return F.size(F.array_except(pages, redacted))
 
 
+def wholly_within(pages: Column, redacted: Column) -> Column:
+    """Do all pages of a font or part lie among the redacted ones?"""
+    return pages_outside(pages, redacted) == 0
+
+
+def value_refusals(entries: DataFrame) -> DataFrame:
+    """Rows (doc_id, num, key, error) of dictionary entries (doc_id, num, key, value) that readers disagree about.
+
+    Judged in this order: a key without a name, a value that is missing, a value that is written as null.
+    """
+    error = o.first_error(
+        o.refused(F.col("key") == "", "Malformed", "empty-key"),
+        o.refused(F.coalesce(F.col("value"), F.lit("")) == "", "Malformed", "empty-value"),
+        o.refused(F.col("value") == "null", "Unsupported", "null-value"),
+    )
+    return entries.select("doc_id", "num", "key", error.alias("error")).where("error is not null")
+
+
 def kept_dependents(annotations: DataFrame, links: DataFrame, removed: DataFrame) -> DataFrame:
     """Kept annotations that still refer to a removed one: a refusal. links: rows (doc_id, src, dst)."""
     kept = annotations.select("doc_id", F.col("annotation").alias("src")).join(

@@ -70,6 +70,30 @@ def second_reading(first: DataFrame, second: DataFrame, origins: DataFrame, regi
     return sizes.union(text.withColumn("rule", F.lit("text-in-region")))
 
 
+def unread_pages(expected: DataFrame, origins: DataFrame) -> DataFrame:
+    """Rows (doc_id, page_no, rule): pages (doc_id, page_no) that hold text, of which the second reader finds none."""
+    none = expected.select("doc_id", "page_no").distinct().join(origins, ["doc_id", "page_no"], "left_anti")
+    return none.withColumn("rule", F.lit("no-text"))
+
+
+def miscounted(examined: DataFrame, cut: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_examined, n_cut) where a check has not looked at as many glyphs as were cut."""
+    a = examined.groupBy("doc_id").agg(F.count("*").alias("n_examined"))
+    both = a.join(cut.groupBy("doc_id").agg(F.count("*").alias("n_cut")), "doc_id", "full_outer").na.fill(0, ["n_examined", "n_cut"])
+    return both.where("n_examined <> n_cut")
+
+
+def broken_compression(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows (doc_id, error): compression promises the same pages in strictly fewer bytes. Rows (doc_id, n_bytes, digest)."""
+    both = before.select("doc_id", F.col("n_bytes").alias("_n"), F.col("digest").alias("_d")).join(after, "doc_id", "full_outer")
+    error = o.first_error(
+        o.refused(F.col("_n").isNull() | F.col("n_bytes").isNull(), "OutputRejected", "document"),
+        o.refused(F.col("_d") != F.col("digest"), "OutputRejected", "contents"),
+        o.refused(F.col("n_bytes") >= F.col("_n"), "OutputRejected", "not-smaller"),
+    )
+    return both.select("doc_id", error.alias("error")).where("error is not null")
+
+
 def differences(expected: DataFrame, found: DataFrame, waivers: DataFrame, key: list[str], value: str) -> DataFrame:
     """Rows (key..., verdict): duplicate, missing, unexpected, different, waived, stale-waiver; equal rows are left out.
 

@@ -346,7 +346,7 @@ SELECT a.doc_id, a.page_no, s.n - 1 AS n_shared FROM a JOIN s USING (doc_id, num
 def shared_arrays(spark, d):
     orders = load(spark, d, "orders")
     rows = orders.select((F.col("o_custkey") % 50).alias("doc_id"), F.col("o_orderkey").alias("page_no"), (F.col("o_custkey") % 4).alias("num"), F.lit(0).alias("gen"))
-    return trees.shared_arrays(rows).select("doc_id", "page_no", long(F.size("shared_with")).alias("n_shared"))
+    return trees.shared_arrays(rows).select("doc_id", "page_no", (F.col("n_pages") - 1).alias("n_shared"))
 
 
 RESOURCES = """res AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page_no, l_suppkey % 3 AS num, 0 AS gen,
@@ -356,7 +356,8 @@ used AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page_no, '
 
 @query(f"""WITH {RESOURCES}, r AS (SELECT DISTINCT * FROM res),
 wanted AS (SELECT DISTINCT r.doc_id, num, gen, u.name FROM r JOIN used u USING (doc_id, page_no))
-SELECT doc_id, page_no, num, category, name FROM r WHERE category IN ('ExtGState', 'ProcSet') OR category IN ('Font', 'XObject') AND (doc_id, num, gen, name) IN (SELECT (doc_id, num, gen, name) FROM wanted)""")
+SELECT doc_id, page_no, num, category, name FROM r WHERE category IN ('ExtGState', 'ProcSet')
+UNION ALL SELECT doc_id, page_no, num, category, name FROM r SEMI JOIN wanted USING (doc_id, num, gen, name) WHERE category IN ('Font', 'XObject')""")
 def pruned_resources(spark, d):
     items = load(spark, d, "lineitem")
     page = [F.col("l_orderkey").alias("doc_id"), long("l_linenumber").alias("page_no")]
@@ -367,13 +368,13 @@ def pruned_resources(spark, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, (s_suppkey * 7 + 3) % 20 AS dst FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey + 40) % 91 FROM supplier WHERE s_suppkey % 9 = 0),
-c AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey IN (5, 18, 60) UNION SELECT dst FROM c JOIN e ON e.src = c.node) SELECT node FROM c""")
+c AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < 5000 UNION SELECT dst FROM c JOIN e ON e.src = c.node) SELECT node FROM c""")
 def annotation_dependents(spark, d):
     k = F.col("s_suppkey")
     sup = load(spark, d, "supplier")
     a = sup.select(F.lit(0).alias("doc_id"), k.alias("src"), ((k * 7 + 3) % 20).alias("dst"))
     b = sup.where(k % 9 == 0).select(F.lit(0).alias("doc_id"), k.alias("src"), ((k + 40) % 91).alias("dst"))
-    return trees.closure(sup.where(k.isin(5, 18, 60)).select(F.lit(0).alias("doc_id"), k.alias("node")), a.union(b)).select("node")
+    return trees.closure(sup.where("s_acctbal < 5000").select(F.lit(0).alias("doc_id"), k.alias("node")), a.union(b)).select("node")
 
 
 @query("""WITH removed AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 5 = 0), e AS (SELECT s_suppkey AS src, (s_suppkey * 7 + 3) % 97 AS dst FROM supplier)
@@ -416,15 +417,17 @@ def referrers(spark, d):
     return trees.referrers(edges).select("num", "sites", "held", "dest_entries")
 
 
-@query(f"""WITH {GLYPHS}, fp AS (SELECT font, page_no FROM glyphs GROUP BY ALL), part_of AS (SELECT DISTINCT font, 'P' || CAST(substr(font, 2) AS INTEGER) % 4 AS part FROM glyphs)
-SELECT part, count(DISTINCT page_no) AS n_pages, count(DISTINCT page_no) FILTER (page_no > 2) AS outside FROM fp JOIN part_of USING (font) GROUP BY part""")
+@query(f"""WITH {GLYPHS}, form AS (SELECT o_custkey % 9 + 1 AS page_no, o_orderkey % 5 AS form FROM orders GROUP BY ALL), held AS (SELECT n_nationkey % 5 AS form, 'F' || n_nationkey AS font FROM nation),
+fp AS (SELECT font, page_no FROM glyphs UNION SELECT font, page_no FROM form JOIN held USING (form)), part_of AS (SELECT DISTINCT font, 'P' || CAST(substr(font, 2) AS INTEGER) % 4 AS part FROM glyphs)
+SELECT part, count(DISTINCT page_no) AS n_pages, count(DISTINCT page_no) FILTER (page_no > 2) AS outside, count(DISTINCT page_no) FILTER (page_no > 7) = 0 AS within FROM fp JOIN part_of USING (font) GROUP BY part""")
 def font_parts(spark, d):
     fonts = glyphs(spark, d).select(F.lit(0).alias("doc_id"), "page_no", "font")
-    none = fonts.limit(0)
-    on_pages = trees.fonts_on_pages(none.select("doc_id", "page_no", F.col("font").alias("form")), none.select("doc_id", F.col("font").alias("form"), "font"), fonts)
+    forms = load(spark, d, "orders").select(F.lit(0).alias("doc_id"), (F.col("o_custkey") % 9 + 1).alias("page_no"), (F.col("o_orderkey") % 5).alias("form")).distinct()
+    held = load(spark, d, "nation").select(F.lit(0).alias("doc_id"), (F.col("n_nationkey") % 5).cast("bigint").alias("form"), F.concat(F.lit("F"), F.col("n_nationkey").cast("string")).alias("font"))
+    on_pages = trees.fonts_on_pages(forms, held, fonts)
     parts = fonts.select("doc_id", "font", F.concat(F.lit("P"), F.substring("font", 2, 9).cast("int") % 4).alias("part")).distinct()
     found = trees.parts_on_pages(parts, on_pages)
-    return found.select("part", long(F.size("pages")).alias("n_pages"), long(trees.pages_outside(F.col("pages"), longs(1, 2))).alias("outside"))
+    return found.select("part", long(F.size("pages")).alias("n_pages"), long(trees.pages_outside(F.col("pages"), longs(1, 2))).alias("outside"), trees.wholly_within(F.col("pages"), longs(1, 2, 3, 4, 5, 6, 7)).alias("within"))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS annotation, o_custkey % 3 = 0 AS ambiguous, o_orderkey % 20 AS page_no, o_custkey % 25 AS owner, o_custkey % 30 AS dest,
@@ -467,11 +470,12 @@ def applied_edits(spark, d):
 
 
 @query("""WITH c AS (SELECT conv_id, turn, strlen(text) AS n, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations),
-w AS (SELECT conv_id, k * 137 AS pos FROM (SELECT DISTINCT conv_id FROM conversations) q, range(12) r(k))
+w AS (SELECT conv_id, unnest(range(0, total, 137)) AS pos FROM (SELECT conv_id, CAST(sum(n + 1) AS BIGINT) AS total FROM c GROUP BY conv_id) q)
 SELECT w.conv_id, w.pos AS "offset", max(c.turn) AS part, CAST(w.pos - max(c.start) AS BIGINT) AS local FROM w JOIN c ON c.conv_id = w.conv_id AND c.start <= w.pos GROUP BY w.conv_id, w.pos""")
 def located_offsets(spark, d):
     parts = load(spark, d, "conversations")
-    wanted = parts.select("conv_id").distinct().select("conv_id", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(11).cast("bigint")), lambda k: k * 137)).alias("offset"))
+    total = parts.groupBy("conv_id").agg(F.sum(F.octet_length("text") + 1).cast("bigint").alias("total"))
+    wanted = total.select("conv_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1, F.lit(137).cast("bigint"))).alias("offset"))
     return t.located(wanted, parts, "conv_id", "turn", F.octet_length("text")).select("conv_id", "offset", "part", long("local").alias("local"))
 
 
@@ -494,7 +498,7 @@ def ink_grid(spark, d):
 # 2.7: geometry and redaction
 
 
-@query(f"""WITH {GLYPHS}, {REGIONS} SELECT DISTINCT g.* FROM glyphs g JOIN regions r USING (doc_id, page_no) WHERE {HIT}""")
+@query(f"""WITH {GLYPHS}, {REGIONS} SELECT g.* FROM glyphs g SEMI JOIN regions r ON g.doc_id = r.doc_id AND g.page_no = r.page_no AND {HIT}""")
 def selected_glyphs(spark, d):
     return r.selected_glyphs(glyphs(spark, d), regions(spark, d))
 
@@ -515,7 +519,7 @@ def codes_still_drawn(spark, d):
 @query(f"""WITH {GLYPHS}, {REGIONS} SELECT g.doc_id, g.page_no AS stream_id, g.op_ord, count(DISTINCT g.glyph_ord) AS n_codes FROM glyphs g JOIN regions r USING (doc_id, page_no) WHERE {HIT} GROUP BY ALL""")
 def cuts_by_operation(spark, d):
     all_ = glyphs(spark, d)
-    cut = r.selected_glyphs(all_, regions(spark, d), cell=200.0).withColumnRenamed("page_no", "stream_id")
+    cut = r.selected_glyphs(all_, regions(spark, d)).withColumnRenamed("page_no", "stream_id")
     done = r.cuts_by_operation(cut, all_.withColumnRenamed("page_no", "stream_id")).where("error is null")
     return done.select("doc_id", "stream_id", "op_ord", long(F.size("codes")).alias("n_codes"))
 
@@ -551,12 +555,12 @@ def unknown_operators(spark, d):
     return r.unknown_operators(operations(spark, d), known).select("doc_id", "op_ord", "operator", F.col("error.rule").alias("rule"))
 
 
-@query("""WITH u AS (SELECT user_id AS doc_id, user_id % 3 AS stream_id, count(*) AS uses FROM events WHERE event_id % 40 = 0 GROUP BY ALL)
-SELECT DISTINCT doc_id, stream_id FROM u WHERE uses > 1 AND doc_id % 2 = 0""")
+@query(f"""WITH {OPERATIONS}, u AS (SELECT doc_id, stream_id, count(*) AS uses FROM operations WHERE operator = 'Do' GROUP BY ALL),
+cut AS (SELECT DISTINCT doc_id, stream_id FROM operations WHERE operator = 'Tj') SELECT doc_id, stream_id FROM u SEMI JOIN cut USING (doc_id, stream_id) WHERE uses > 1""")
 def sharing_refusals(spark, d):
     ops = operations(spark, d)
-    uses = ops.where("op_ord % 40 = 0").groupBy("doc_id", "stream_id").agg(F.count("*").alias("uses"))
-    return r.sharing_refusals(ops.where("doc_id % 2 = 0"), uses).select("doc_id", "stream_id")
+    uses = ops.where("operator = 'Do'").groupBy("doc_id", "stream_id").agg(F.count("*").alias("uses"))
+    return r.sharing_refusals(ops.where("operator = 'Tj'"), uses).select("doc_id", "stream_id")
 
 
 @query("""WITH f AS (SELECT o_orderkey, o_custkey % 4 * 90 AS rotate, o_custkey % 50 AS bl, o_orderkey % 70 AS bb, CAST(600 AS BIGINT) AS w, CAST(800 AS BIGINT) AS h, o_custkey % 300 AS l, o_orderkey % 200 AS t, o_custkey % 90 - 5 AS rw, CAST(40 AS BIGINT) AS rh FROM orders),
@@ -588,7 +592,7 @@ def page_frames(spark, d):
 
 
 @query("""WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey % 300 AS a, l_suppkey % 200 AS b, l_partkey % 90 AS w, l_suppkey % 80 AS h FROM lineitem)
-SELECT DISTINCT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, a, b, a < 180 AND 100 < a + w AND b < 150 AND 50 < b + h AS meets, 100 <= a AND a + w <= 180 AND 50 <= b AND b + h <= 150 AS inside,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, a, b, a < 180 AND 100 < a + w AND b < 150 AND 50 < b + h AS meets, 100 <= a AND a + w <= 180 AND 50 <= b AND b + h <= 150 AS inside,
   CAST(least(a * 2 + 7, (a + w) * 2 + 7) AS DOUBLE) AS moved_left, CAST(greatest(-b, -(b + h)) + 5 AS DOUBLE) AS moved_top,
   CASE WHEN greatest(a - 2, 0) < least(a + w + 2, 250) AND greatest(b - 2, 0) < least(b + h + 2, 180) THEN least(a + w + 2, 250) - greatest(a - 2, 0) END AS painted, ceil(w * 150 / 72.0)::BIGINT AS pixels FROM q""")
 def rectangles(spark, d):
@@ -600,7 +604,7 @@ def rectangles(spark, d):
     return load(spark, d, "lineitem").select(
         "l_orderkey", long("l_linenumber").alias("line"), a.alias("a"), b.alias("b"), g.intersects(box, other).alias("meets"), g.contains(other, box).alias("inside"),
         moved["left"].alias("moved_left"), moved["top"].alias("moved_top"), (paint["right"] - paint["left"]).alias("painted"), g.pixels_at_dpi(w).alias("pixels"),
-    ).distinct()
+    )
 
 
 @query("""WITH c AS (SELECT user_id AS doc_id, event_id AS k FROM events),
@@ -775,17 +779,21 @@ def rule_coverage(spark, d):
     return v.rule_coverage(part.select(named(F.col("p_size"))).distinct(), part.select(named(F.col("p_size") * 2)))
 
 
-@query(f"""WITH {GLYPHS} SELECT DISTINCT doc_id, page_no, glyph_ord, "left" - 2.5 AS "left", bottom - 2.5 AS bottom, greatest("right", "left" + 12) + 2.5 AS "right", greatest(top, bottom + 9) + 2.5 AS top FROM glyphs""")
+@query(f"""WITH {GLYPHS} SELECT doc_id, page_no, glyph_ord, "left" - 2.5 AS "left", bottom - 2.5 AS bottom, greatest("right", "left" + 12) + 2.5 AS "right", greatest(top, bottom + 9) + 2.5 AS top FROM glyphs""")
 def glyph_boxes(spark, d):
     x, y = F.col("left"), F.col("bottom")
     stroke = g.stroke_reach(F.lit(1.0), F.lit(4.0), F.lit(True))
     box = g.glyph_box(r.box_of(), g.rect(x, y, x + 12, y + 4), g.rect(x, y, x + 3, y + 9), stroke, F.lit(0.5))
-    return glyphs(spark, d).select("doc_id", "page_no", "glyph_ord", box.alias("b")).select("doc_id", "page_no", "glyph_ord", "b.*").distinct()
+    return glyphs(spark, d).select("doc_id", "page_no", "glyph_ord", box.alias("b")).select("doc_id", "page_no", "glyph_ord", "b.*")
 
 
-@query("""WITH RECURSIVE f AS (SELECT DISTINCT 0 AS doc_id, s_suppkey % 15 AS src, (s_suppkey * 5 + 2) % 15 AS dst FROM supplier),
-c AS (SELECT DISTINCT src AS source, dst AS node FROM f WHERE src < 4 UNION SELECT c.source, f.dst FROM c JOIN f ON f.src = c.node) SELECT source, node FROM c""")
+@query("""WITH RECURSIVE f AS (SELECT p_partkey // 16 AS doc_id, p_partkey AS src, p_partkey // 16 * 16 + (p_partkey * 5 + 2) % 16 AS dst FROM part),
+c AS (SELECT doc_id, src AS source, dst AS node FROM f UNION SELECT c.doc_id, c.source, f.dst FROM c JOIN f ON f.src = c.node AND f.doc_id = c.doc_id) SELECT doc_id, source, node FROM c""")
 def used_names(spark, d):
-    k = F.col("s_suppkey")
-    edges = load(spark, d, "supplier").select(F.lit(0).alias("doc_id"), (k % 15).alias("src"), ((k * 5 + 2) % 15).alias("dst")).distinct()
-    return trees.reach(edges.where("src < 4").select("doc_id", F.col("src").alias("node")).distinct(), edges).select("source", "node")
+    k = F.col("p_partkey")
+    doc = F.floor(k / 16).cast("bigint")
+    edges = load(spark, d, "part").select(doc.alias("doc_id"), k.alias("src"), (doc * 16 + (k * 5 + 2) % 16).alias("dst"))
+    return trees.reach(edges.select("doc_id", F.col("src").alias("node")), edges)
+
+
+from . import more_queries  # noqa: E402, F401  (registers its own)

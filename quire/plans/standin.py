@@ -31,9 +31,9 @@ counts AS (SELECT doc_id, count(*) AS n_pages FROM pages_in GROUP BY doc_id)"""
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, page_no, glyph_ord, left .. top, font, code, op_ord, n) from line items, as whole coordinates.
+    """Rows (doc_id, page_no, glyph_ord, left .. top, font, code, op_ord) from line items, as whole coordinates.
 
-    n numbers equal rows, which repeat in this table; glyph_ord alone is no key.
+    Equal rows may repeat in this table; glyph_ord alone is no key.
     """
     q = F.col("l_quantity").cast("bigint")
     return load(spark, sf_dir, "lineitem").select(
