@@ -51,6 +51,12 @@ def _packed(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return df.coalesce(parts), parts
 
 
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, of narrow rows, stored; where these are counted to be at most `rows`, joins broadcast it."""
+    df, parts = _packed(df, rows)
+    return F.broadcast(df) if parts == 1 else df
+
+
 def set_apart(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """df with every column but the used ones under a name that no operator has, and the way back.
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_run, components, filtered, packed, parted, set_apart, stored, table
+from .common import by_run, components, few, filtered, packed, parted, set_apart, stored, table
 from .words import WordHash, shingle_words, shingles
 
 ORDERS, DEPTH, LEAST_DEPTH = 16, 6, 4
@@ -280,22 +280,22 @@ def _large_groups(rows: DataFrame, confirm, hubs: int) -> DataFrame:
     open_ = narrow
     for turn in range(64):
         count = open_.groupBy("component").agg(F.count("*").alias("n"))
-        slots = packed(count.select("component", F.least(F.col("n"), F.lit(hubs)).cast("int").alias("slots")))
+        slots = few(count.select("component", F.least(F.col("n"), F.lit(hubs)).cast("int").alias("slots")))
         if slots.isEmpty():
             return links
         sample = open_.groupBy("component", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(64)).alias("place"))
         sample = sample.agg(F.max_by("lows", F.xxhash64("node", F.lit(-turn))).alias("lows"))
-        wanted = packed(by_run(sample.select("component", "lows"), ["component"], _consensus, "component long, consensus binary"))
+        wanted = few(by_run(sample.select("component", "lows"), ["component"], _consensus, "component long, consensus binary"))
         scored = open_.join(wanted, "component").join(slots, "component").select("component", "node", "slots", "lows", "consensus")
         scored = scored.mapInArrow(_agreement, "component long, node long, slots int, agreed int")
         # every row where they are few, else the best of each of `hubs` shares
         place = F.xxhash64("node", F.lit(turn))
-        few = scored.where(F.col("slots") < hubs).select("component", "node", F.pmod(place, F.ceil(F.col("slots") / HUBS_A_TASK)).cast("int").alias("chunk"))
+        all_ = scored.where(F.col("slots") < hubs).select("component", "node", F.pmod(place, F.ceil(F.col("slots") / HUBS_A_TASK)).cast("int").alias("chunk"))
         slot = F.pmod(place, F.lit(hubs)).cast("int")
         best = scored.where(F.col("slots") == hubs).groupBy("component", slot.alias("slot")).agg(F.max(F.struct("agreed", "node")).alias("best"))
         best = best.select("component", F.col("best.node").alias("node"), F.floor(F.col("slot") / HUBS_A_TASK).cast("int").alias("chunk"))
-        chosen = packed(few.union(best))
-        chunks = packed(chosen.groupBy("component").agg((F.max("chunk") + 1).alias("chunks")))
+        chosen = packed(all_.union(best))
+        chunks = few(chosen.groupBy("component").agg((F.max("chunk") + 1).alias("chunks")))
         every = rows.join(chunks, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         every = every.select("component", "block", "chunk", "node", F.lit(False).alias("hub"), "text")
         picked = rows.join(chosen, ["component", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -307,7 +307,7 @@ def _large_groups(rows: DataFrame, confirm, hubs: int) -> DataFrame:
         named = narrow.join(joined.withColumnRenamed("component", "label"), "node", "left")
         named = packed(named.select("component", "node", "lows", F.coalesce("label", "node").alias("label")))
         sizes = named.groupBy("component", "label").agg(F.count("*").alias("n"))
-        largest = packed(sizes.groupBy("component").agg(F.max(F.struct("n", "label")).alias("m")).select("component", F.col("m.label").alias("label")))
+        largest = few(sizes.groupBy("component").agg(F.max(F.struct("n", "label")).alias("m")).select("component", F.col("m.label").alias("label")))
         rest = named.join(largest, ["component", "label"], "left_anti").select("component", "node", "lows")
         open_ = packed(rest.join(done, ["component", "node"], "left_anti"))
         hubs *= 4
