@@ -19,11 +19,11 @@
 
 Targets are weights per domain; the grand total is such that the `anchor` domain keeps its expected tokens.
 
-`thin` is for a corpus in which no document is repeated: rates lie in 0..1 and are probabilities of staying. A domain has
-at most its weight relative to the anchor's kept tokens; one that has less keeps what it has, as no rate above one could
-be carried out. The same projected gradients, between both bounds, of the squared excesses: a document adds
-posterior_dk - weight_k / weight_anchor * posterior_d,anchor to domain k's excess, so a document of the anchor domain is never
-lowered to make room. Rates that do not meet this within `tolerance` are an error.
+`thin` is for a corpus in which no document is repeated: rates lie in 0..1 and are probabilities of staying. The same least
+squares between both bounds, with targets that rates up to 1 can meet: the anchor is to keep all its tokens, another domain as many
+as its weight relative to them, or all where it has fewer. The anchor's gap weighs `anchor_weight` times: what cannot be told from
+the anchor's documents (a domain's probability that is spread over all of them) is left, with a warning, rather than paid for
+with these.
 
 Rows: a null or empty text has no tokens, the prior as posterior and a rate like others. Documents without a label are
 scored like those with one; labels of missing documents are ignored. A null doc_id is hashed like a value. Repeated rows
@@ -163,8 +163,13 @@ def rate_of(x: list[Column], steps: list[list[float]], most: float | None) -> Co
 KEPT = 5
 
 
-def fit(docs: DataFrame, x: list[Column], gaps_of, scale: list[float], most: float | None, within: float, most_steps: int) -> tuple[list[list[float]], list[float]]:
-    """The steps, and the gaps that remain. docs: rows (tokens, ...) that x is read from; gaps_of: gaps from the K totals."""
+def fit(
+    docs: DataFrame, x: list[Column], gaps_of, scale: list[float], most: float | None, within: float, most_steps: int, stall: float = 1e-12
+) -> tuple[list[list[float]], list[float]]:
+    """The steps, and the gaps that remain. docs: rows (tokens, ...) that x is read from; gaps_of: gaps from the K totals.
+
+    It also ends where a step lowers the squares by no more than `stall` of them.
+    """
     n = len(x)
     rows = docs.select(F.col("tokens").cast("double").alias("t"), *(c.alias(f"x{k}") for k, c in enumerate(x)), F.lit(1.0).alias("r"))
     x, t = [F.col(f"x{k}") for k in range(n)], F.col("t")
@@ -176,7 +181,7 @@ def fit(docs: DataFrame, x: list[Column], gaps_of, scale: list[float], most: flo
     least = 1 / max([*rows_sums, 1e-300])
     gaps, length, steps, pending = gaps_of(totals), least, [], []
     square = sum(g * g / s for g, s in zip(gaps, scale, strict=True))
-    for _ in range(2 * most_steps):
+    for _ in range(4 * most_steps):
         if len(steps) >= most_steps or max(map(abs, gaps), default=0.0) <= within:
             break
         step = [length * g / s for g, s in zip(gaps, scale, strict=True)]
@@ -194,7 +199,7 @@ def fit(docs: DataFrame, x: list[Column], gaps_of, scale: list[float], most: flo
         steps.append(step), pending.append(step)
         curve = sum((b - a) * (h - g) / s for a, b, g, h, s in zip(totals, now, gaps, then, scale, strict=True))
         length = max(least, moved / curve) if curve > 0 else least
-        done = square - squared <= 1e-12 * square
+        done = square - squared <= stall * square
         totals, gaps, square = now, then, squared
         if done:  # as near as the bounds let the rates come
             break
@@ -215,7 +220,7 @@ def fit_rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, floa
     found = docs.agg(*(F.sum(F.col("tokens") * c) for c in p)).first()
     totals = [float(v or 0) for v in found]
     grand = totals[domains.index(anchor)] / weights[anchor]
-    if grand <= 0:
+    if grand <= 1e-9 * sum(totals):
         return []
     # what has next to no tokens at any rates cannot be brought to a target
     target = [weights[d] * grand if s > 1e-12 * grand else None for d, s in zip(domains, totals, strict=True)]
@@ -270,35 +275,36 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor:
     return with_rates(stored(classified(docs, labelled, domains, **classifier)), weights, domains)
 
 
-def excess(posterior: Column, domains: tuple[str, ...], weights: dict[str, float]) -> list[Column]:
-    """What a token adds to each domain but the first, beyond its weight relative to the first."""
-    return [posterior[k] - F.lit(weights[d] / weights[domains[0]]) * posterior[0] for k, d in enumerate(domains) if k]
-
-
-def fit_thinning(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], tolerance: float, most_steps: int) -> list[list[float]]:
-    """The steps of the rates in 0..1, from docs (tokens, posterior)."""
-    anchor = float(docs.agg(F.sum(F.col("tokens") * F.col("posterior")[0])).first()[0] or 0)
-    scale = [anchor * weights[d] / weights[domains[0]] or 1.0 for d in domains[1:]]
+def fit_thinning(
+    docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], tolerance: float, most_steps: int, anchor_weight: float = 100.0, stall: float = 1e-3
+) -> list[list[float]]:
+    """The steps of the rates in 0..1, from docs (tokens, posterior); the anchor is the first domain."""
+    p = of_domain(domains)
+    totals = [float(v or 0) for v in docs.agg(*(F.sum(F.col("tokens") * c) for c in p)).first()]
+    anchor = totals[0]
+    if anchor <= 1e-9 * sum(totals):
+        return []
+    target = [anchor, *(min(s, anchor * weights[d] / weights[domains[0]]) for d, s in zip(domains[1:], totals[1:], strict=True))]
 
     def gaps_of(now: list[float]) -> list[float]:
-        return [max(0.0, s) for s in now]
+        return [have - want for have, want in zip(now, target, strict=True)]
 
-    steps, gaps = fit(docs, excess(F.col("posterior"), domains, weights), gaps_of, scale, 1.0, tolerance * anchor, most_steps)
-    if max(gaps) > tolerance * anchor and anchor > 0:
-        raise RuntimeError(f"rates are not within {tolerance} of the targets after {len(steps)} steps: {gaps} of {anchor} tokens")
+    scale = [anchor / anchor_weight, *(max(t, 1e-6 * anchor) for t in target[1:])]
+    steps, gaps = fit(docs, p, gaps_of, scale, 1.0, tolerance * anchor, most_steps, stall)
+    if max(map(abs, gaps)) > tolerance * anchor:
+        warnings.warn(f"no rates meet the targets: {dict(zip(domains, gaps, strict=True))} tokens too many, beside {anchor}", stacklevel=2)
     return steps
 
 
 def thin(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, tolerance: float = 1e-4, most_steps: int = 200, seed: int = 7, **classifier
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, tolerance: float = 1e-4, most_steps: int = 60, seed: int = 7, **classifier
 ) -> DataFrame:
     """The docs that stay, each at most once, with tokens, posterior and rate."""
     domains = (anchor, *(d for d in weights if d != anchor))
     found = stored(classified(docs, labelled, domains, **classifier))
     steps = fit_thinning(found.select("tokens", "posterior"), domains, weights, tolerance, most_steps)
-    rate = rate_of(excess(F.col("posterior"), domains, weights), steps, 1.0)
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return found.withColumn("rate", rate).where(F.col("rate") + u >= 1)
+    return found.withColumn("rate", rate_of(of_domain(domains), steps, 1.0)).where(F.col("rate") + u >= 1)
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
