@@ -254,3 +254,20 @@ def near_duplicates(
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+#: The rows by SQL: all pairs are compared, so it suits small tables only.
+OP1_SQL = r"""
+WITH RECURSIVE vec AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT DISTINCT vec_id, e FROM vec
+  WHERE vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+number AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+  vec_id IS NULL OR vec_id <= coalesce(least.b, vec_id) AS kept
+FROM vec LEFT JOIN least ON least.a = vec_id LEFT JOIN number ON number.a = vec_id
+"""

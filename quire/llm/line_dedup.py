@@ -202,3 +202,35 @@ def dedup_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+#: The rows by SQL. Partners agree in the first or the last half of their words.
+OP2_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS id, doc_id, text, CASE WHEN text IS NULL OR text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+line AS (SELECT r, id, k, lines[k] AS raw FROM (SELECT r, id, lines, unnest(range(1, len(lines) + 1)) AS k FROM doc) z),
+worded AS (
+  SELECT r, id, k, raw,
+    regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM line),
+own AS (SELECT w, len(w) AS n, min((id, k)) AS p FROM worded WHERE len(w) > 0 GROUP BY w),
+half AS (
+  SELECT *, n // 2 AS size, 'first' AS side, w[1 : n // 2] AS part FROM own WHERE n >= 8
+  UNION ALL SELECT *, n - n // 2, 'last', w[n // 2 + 1 : n] FROM own WHERE n >= 8),
+shifted AS (
+  SELECT *, (n - 1) // 2 AS size, 'first' AS side, w[1 : (n - 1) // 2] AS part FROM own WHERE n >= 9
+  UNION ALL SELECT *, n - 1 - (n - 1) // 2, 'last', w[(n - 1) // 2 + 2 : n] FROM own WHERE n >= 9),
+pair AS (
+  SELECT a.p, a.w, a.n, b.p AS q, b.w AS v, true AS replaced FROM half a JOIN half b ON a.n = b.n AND a.side = b.side AND a.part = b.part AND b.p < a.p
+  UNION SELECT a.p, a.w, a.n, b.p, b.w, false FROM half a JOIN shifted b ON b.n = a.n + 1 AND a.side = b.side AND a.part = b.part),
+measured AS (SELECT *, coalesce(list_position(list_transform(list_zip(w, v[1 : n]), lambda x: x[1] = x[2]), false), n + 1) AS spot FROM pair),
+near AS (
+  SELECT DISTINCT greatest(p, q) AS p FROM measured
+  WHERE CASE WHEN replaced THEN w[spot + 1 : n] = v[spot + 1 : n] ELSE w[spot : n] = v[spot + 1 : n + 1] END),
+told AS (
+  SELECT x.r, x.k, x.raw, len(x.w) > 0 AND ((x.id, x.k) > own.p OR near.p IS NOT NULL) AS gone
+  FROM worded x LEFT JOIN own ON own.w = x.w LEFT JOIN near ON near.p = own.p),
+kept AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(raw, chr(10) ORDER BY k) FILTER (NOT coalesce(gone, false)) AS text FROM told GROUP BY r)
+SELECT doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN doc.text ELSE coalesce(kept.text, '') END AS text,
+  CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+FROM doc LEFT JOIN kept USING (r)
+"""

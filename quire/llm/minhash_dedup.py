@@ -449,3 +449,31 @@ def remove_near_duplicates(
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+#: The rows by SQL: documents that share a rare shingle are compared whole, and all pairs within a component are listed.
+OP10_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT r, doc_id, array_to_string(w, ' ') AS t, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM doc),
+text AS (SELECT min(doc_id) AS rep, t, any_value(s) AS s, len(any_value(s)) AS n FROM sets WHERE doc_id IS NOT NULL AND t <> '' GROUP BY t),
+shingle AS (SELECT rep, n, unnest(s) AS h FROM text),
+rare AS (SELECT h, count(*) AS df FROM shingle GROUP BY h),
+ranked AS (SELECT rep, n, h, row_number() OVER (PARTITION BY rep ORDER BY df, h) AS k FROM shingle JOIN rare USING (h)),
+head AS (SELECT rep, n, h FROM ranked WHERE k <= n - (85 * n + 99) // 100 + 1),
+candidate AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM head a JOIN head b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+met AS (
+  SELECT c.a, c.b, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS common
+  FROM candidate c JOIN text x ON x.rep = c.a JOIN text y ON y.rep = c.b),
+near AS (SELECT a, b FROM met WHERE 100 * common >= 85 * (total - common)),
+link AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles,
+  least(coalesce(rep, sets.doc_id), coalesce(least.b, sets.doc_id)) AS component_id,
+  sets.doc_id IS NULL OR sets.doc_id = least(coalesce(rep, sets.doc_id), coalesce(least.b, sets.doc_id)) AS kept
+FROM sets LEFT JOIN text ON sets.doc_id IS NOT NULL AND text.t = sets.t LEFT JOIN least ON least.a = rep
+"""

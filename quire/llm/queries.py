@@ -2,10 +2,10 @@
 
 from .chat_format import OP5_SQL, op5_chat_format
 from .decontaminate import OP8_SQL, op8_decontaminate
-from .embedding_dedup import op1_embedding_dedup
+from .embedding_dedup import OP1_SQL, op1_embedding_dedup
 from .html_extract import op4_html_extract
-from .line_dedup import op2_line_dedup
-from .minhash_dedup import op10_minhash_dedup
+from .line_dedup import OP2_SQL, op2_line_dedup
+from .minhash_dedup import OP10_SQL, op10_minhash_dedup
 from .mixing import op7_mix
 from .quality import op9_quality
 from .sharding import op6_shard
@@ -24,6 +24,9 @@ QUERIES = {
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 SQL = {
+    "op1_embedding_dedup": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
     "op5_chat_format": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op10_minhash_dedup": OP10_SQL,
 }
