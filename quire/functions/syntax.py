@@ -64,13 +64,13 @@ def _string_end(raw: bytes, at: int) -> int:
     raise SyntaxRefusal("unclosed-string")
 
 
-def tokens(raw: bytes, strict: bool = False) -> Iterator[Token]:
-    """The tokens of a content stream. strict: bytes 0x80 and 0xFF between tokens refuse.
+def tokens(raw: bytes, strict: bool = False, at: int = 0) -> Iterator[Token]:
+    """The tokens of a content stream from a place on. strict: bytes 0x80 and 0xFF between tokens refuse.
 
     The data of an inline image are skipped by the length that its dictionary gives; an image without one ends
     the reading, as a last token of kind `unknown_extent`, or refuses if strict.
     """
-    at, image, n = 0, None, len(raw)
+    image, n = None, len(raw)
     while True:
         m = TRIVIA.match(raw, at)
         if strict and re.search(rb"[\x80\xff]", re.sub(rb"%[^\r\n]*", b"", m[0])):

@@ -7,19 +7,27 @@ documents is out of reach of this library. Bytes that cannot be read give an err
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import syntax as s
-from ..functions.outcome import open_gate
+from ..functions.outcome import MOST, open_gate
 
-#: Fixed values of the pre-scan: the tail that is searched, the most sections followed, the most lengths read.
-TAIL, MOST_SECTIONS, MOST_LENGTHS = 2048, 32, 1 << 20
+#: Fixed values of the pre-scan: bytes of the tail and of a section's head that are searched, and the most sections of a
+#: chain, subsections of a table, numbers of an /Index and lengths that are read.
+TAIL, HEAD, MOST_SECTIONS, MOST_SUBSECTIONS, MOST_RANGES, MOST_LENGTHS = 1 << 16, 1 << 16, 32, 1024, 256, 1 << 20
 LENGTH = re.compile(rb"/Length[ \t\n\x0c\r]+(\d+)(?![ \t\n\x0c\r]+\d+[ \t\n\x0c\r]+R\b)(?!\d)")
-ENTRY = re.compile(rb"(\d{10}) (\d{5}) ([nf])")
+START = re.compile(rb"startxref[ \t\n\x0c\r]*(\d+)")
+TABLE = re.compile(rb"[ \t\n\x0c\r]*xref(?=[ \t\n\x0c\r<\[]|\Z)")
+SUBSECTION = re.compile(rb"[ \t\n\x0c\r]*\d+[ \t\n\x0c\r]+(\d+)[ \t\n\x0c\r]*")
+SIZE, PREVIOUS = (re.compile(rb"/" + key + rb"(?=[ \t\n\x0c\r\[\]<>()/%{}])[ \t\n\x0c\r]*(\d+)") for key in (b"Size", b"Prev"))
+INDEX = re.compile(rb"/Index[ \t\n\x0c\r]*\[((?:[ \t\n\x0c\r]*\d+)+)")
+ENTRY_BYTES, ENTRIES_AT_ONCE = 20, 1 << 16
 PROFILE = "xref_entries long, largest_stream long, xref_sections int, entry_past_end boolean, entries_judged long"
 
 
@@ -32,46 +40,79 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> D
     )
 
 
+def _number(digits: bytes) -> int:
+    """Digits as a number that stays at the largest BIGINT."""
+    return int(digits) if len(digits.lstrip(b"0")) <= 18 else MOST
+
+
+def _largest(pattern: re.Pattern, raw: bytes, most: int | None = None) -> int | None:
+    return max((_number(m[1]) for m in islice(pattern.finditer(raw), most)), default=None)
+
+
 def largest_length(raw: bytes) -> int:
     """The largest stream length that is declared directly, of at most MOST_LENGTHS."""
-    most = 0
-    for k, m in enumerate(LENGTH.finditer(raw)):
-        if k >= MOST_LENGTHS:
+    return _largest(LENGTH, raw, MOST_LENGTHS) or 0
+
+
+def _judged(raw: bytes, first: int, count: int, seen: np.ndarray) -> tuple[int, bool]:
+    """How many entries of a subsection were read, and whether one in use lies past the end of the file.
+
+    Entries that begin in bytes read before are passed over; the first one that is not laid out as specified is the last read.
+    """
+    read, past = 0, False
+    count = min(count, (len(raw) - first) // ENTRY_BYTES)
+    for k in range(0, count, ENTRIES_AT_ONCE):
+        n, at = min(ENTRIES_AT_ONCE, count - k), first + k * ENTRY_BYTES
+        rows = np.frombuffer(raw, np.uint8, n * ENTRY_BYTES, at).reshape(n, ENTRY_BYTES)
+        spans = seen[at : at + n * ENTRY_BYTES].reshape(n, ENTRY_BYTES)
+        digits = (rows[:, :16] - ord("0") < 10) | (np.arange(16) == 10)
+        used, ends = rows[:, 17] == ord("n"), rows[:, 18].astype(np.uint16) << 8 | rows[:, 19]
+        good = digits.all(1) & (rows[:, 10] == 32) & (rows[:, 16] == 32) & (used | (rows[:, 17] == ord("f"))) & np.isin(ends, (0x200A, 0x200D, 0x0D0A))
+        fresh = ~spans[:, 0]
+        bad = np.flatnonzero(fresh & ~good)
+        fresh[bad[0] if len(bad) else n :] = False
+        offsets = (rows[fresh & used, :10].astype(np.int64) - ord("0")) @ 10 ** np.arange(9, -1, -1)
+        past |= bool((offsets >= len(raw)).any())
+        spans[fresh] = True
+        read += int(fresh.sum()) + (len(bad) > 0)
+        if len(bad):
             break
-        most = max(most, min(int(m[1]), 2**63 - 1))
-    return most
+    return read, past
 
 
 def profile(raw: bytes) -> tuple[int, int, int, bool, int]:
-    """What a file declares about itself: the PROFILE columns. The whole file is searched only if no section is found."""
-    entries = judged = sections = 0
-    past, seen = False, set()
+    """What a file declares about itself: the PROFILE columns.
+
+    A section is a table, or a stream that declares its /Index or /Size; xref_entries is the largest section's number,
+    since one merged table comes of them. If the chain declares none, the largest /Size of the whole file counts. Each byte of
+    a table's entries is judged once, however many sections overlap.
+    """
+    entries, judged, past, seen = 0, 0, False, None
+    visited: set[int] = set()
     tail = raw[-TAIL:]
     at = tail.rfind(b"startxref")
-    m = re.match(rb"startxref\s+(\d{1,18})", tail[at:]) if at >= 0 else None
-    offset = int(m[1]) if m else None
-    while offset is not None and offset not in seen and offset < len(raw) and sections < MOST_SECTIONS:
-        seen.add(offset)
-        head = re.compile(rb"xref\s+").match(raw, offset)
-        offset = None
-        if not head:
-            break
-        sections += 1
-        at = head.end()
-        while sub := re.compile(rb"(\d{1,10})\s+(\d{1,10})\s+").match(raw, at):
-            entries += int(sub[2])
-            at = sub.end()
-            for _ in range(int(sub[2])):
-                one = ENTRY.match(raw, at)
-                if not one:
+    m = START.match(tail, at) if at >= 0 else None
+    offset = _number(m[1]) if m else None
+    while offset is not None and offset not in visited and offset < len(raw) and len(visited) < MOST_SECTIONS:
+        visited.add(offset)
+        head = raw[offset : offset + HEAD]
+        if table := TABLE.match(raw, offset):
+            here, at = 0, table.end()
+            seen = np.zeros(len(raw), bool) if seen is None else seen
+            for _ in range(MOST_SUBSECTIONS):
+                if at >= len(raw) or not (sub := SUBSECTION.match(raw, at)):
                     break
-                judged += 1
-                past = past or (one[3] == b"n" and int(one[1]) >= len(raw))
-                at = re.compile(rb"\s*").match(raw, one.end()).end()
-        end = raw.find(b"startxref", at)
-        back = re.search(rb"/Prev\s+(\d{1,18})\b", raw[at : end if end >= 0 else at + 4096])
-        offset = int(back[1]) if back else None
-    return entries, largest_length(raw) if not entries else 0, sections, past, judged
+                count = _number(sub[1])
+                read, beyond = _judged(raw, sub.end(), count, seen)
+                here, judged, past = min(here + count, MOST), judged + read, past or beyond
+                at = sub.end() + count * ENTRY_BYTES
+        elif ranges := INDEX.search(head):
+            here = min(sum(map(_number, ranges[1].split()[1:MOST_RANGES:2])), MOST)
+        else:
+            here = _largest(SIZE, head) or 0
+        entries = max(entries, here)
+        offset = _largest(PREVIOUS, head)
+    return entries or _largest(SIZE, raw) or 0, largest_length(raw), len(visited), past, judged
 
 
 def prescanned(documents: DataFrame, limits: dict | None = None) -> DataFrame:
@@ -95,6 +136,34 @@ OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b")
 REFERENCE = re.compile(rb"(?<![\d.])(\d{1,10})\s+(\d{1,5})\s+R(?![A-Za-z0-9])")
 
 
+def _one_value(raw: bytes, at: int = 0) -> Iterator[tuple[int, int]]:
+    """The references (num, gen) in the first value from a place on."""
+    depth, held = 0, []
+    for t in s.tokens(raw, at=at):
+        if t.kind == "number":
+            held = [*held[-1:], t.value]
+            continue
+        if t.kind == "keyword" and t.value == b"R" and len(held) == 2 and all(map(bytes.isdigit, held)):
+            yield int(held[0]), int(held[1])
+        elif not depth and held:
+            return  # the value was a number
+        held = []
+        depth += {"dict_open": 1, "array_open": 1, "dict_close": -1, "array_close": -1}.get(t.kind, 0)
+        if depth <= 0:
+            return
+
+
+def _held_by(src: tuple[int, int], raw: bytes, at: int = 0) -> list[tuple]:
+    """Reference rows of the value of an object, the last one with the rule if it cannot be read."""
+    out = []
+    try:
+        for num, gen in _one_value(raw, at):
+            out.append((*src, num, gen, "reference"))
+    except s.SyntaxRefusal as refusal:
+        out.append((*src, None, None, f"refused:{refusal.rule}"))
+    return out
+
+
 def references(raw: bytes) -> list[tuple]:
     """Rows (src, src_gen, num, gen, kind): every object and what it refers to; kind `object`, `null` or `reference`.
 
@@ -108,34 +177,61 @@ def references(raw: bytes) -> list[tuple]:
         value = body[: stream.start()] if stream else body
         src = (int(m[1]), int(m[2]))
         out.append((*src, None, None, "null" if value.split() == [b"null"] else "object"))
-        held: list[bytes] = []
-        try:
-            for t in s.tokens(value):
-                held = [*held[-1:], t.value] if t.kind == "number" else held
-                if t.kind == "keyword" and t.value == b"R" and len(held) == 2 and all(x.isdigit() for x in held):
-                    out.append((*src, int(held[0]), int(held[1]), "reference"))
-                if t.kind != "number":
-                    held = []
-        except s.SyntaxRefusal as refusal:
-            out.append((*src, None, None, f"refused:{refusal.rule}"))
+        out += _held_by(src, value)
         at = m.end() + len(body)
     return out
 
 
-def reference_rows(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, src, src_gen, num, gen, kind) of every document."""
+def value_references(raw: bytes) -> list[tuple[int, int]]:
+    """The references (num, gen) of one value, in order."""
+    return list(_one_value(raw))
+
+
+def member_references(raw: bytes, count: int, first: int) -> list[tuple]:
+    """The rows of `references` for the members of a decoded object stream, from its header's pairs of number and offset."""
+    header = islice(s.tokens(raw[: max(first, 0)]), 2 * max(count, 0))
+    try:
+        numbers = [int(t.value) if t.kind == "number" and t.value.isdigit() else None for t in header]
+    except s.SyntaxRefusal:
+        numbers = []
+    if count < 0 or len(numbers) < 2 * count or None in numbers or any(first + x >= len(raw) for x in numbers[1::2]):
+        return [(None, None, None, None, "refused:object-stream-header")]
+    out = []
+    for num, offset in zip(numbers[::2], numbers[1::2], strict=True):
+        null = re.compile(rb"\s*null(?![^\s/<>\[\](){}%])").match(raw, first + offset)
+        out.append((num, 0, None, None, "null" if null else "object"))
+        out += _held_by((num, 0), raw, first + offset)
+    return out
+
+
+REFERENCES = "src long, src_gen long, num long, gen long, kind string"
+
+
+def _reference_rows(frame: DataFrame, read: Callable[..., list[tuple]], *arguments: str) -> DataFrame:
+    """The rows that `read` finds in (content, *arguments), next to doc_id; none where one of them is null."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
-            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True):
-                rows = references(x.as_buffer().to_pybytes()) if x.is_valid else []
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            more = (batch.column(c).to_pylist() for c in arguments)
+            for doc, x, *given in zip(batch.column("doc_id").to_pylist(), batch.column("content"), *more, strict=True):
+                rows = read(x.as_buffer().to_pybytes(), *given) if x.is_valid and None not in given else []
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc] * len(rows), pa.int64()), *columns], ["doc_id", "src", "src_gen", "num", "gen", "kind"]
                 )
 
-    return documents.select("doc_id", "content").mapInArrow(part, "doc_id long, src long, src_gen long, num long, gen long, kind string")
+    return frame.select("doc_id", "content", *arguments).mapInArrow(part, f"doc_id long, {REFERENCES}")
+
+
+def reference_rows(documents: DataFrame) -> DataFrame:
+    """Rows (doc_id, src, src_gen, num, gen, kind) of every document."""
+    return _reference_rows(documents, references)
+
+
+def member_rows(streams: DataFrame) -> DataFrame:
+    """The same rows of decoded object streams (doc_id, content, count, first); src_gen is 0."""
+    return _reference_rows(streams, member_references, "count", "first")
 
 
 def operation_rows(streams: DataFrame, strict: bool = False) -> DataFrame:

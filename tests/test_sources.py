@@ -38,6 +38,69 @@ def test_references(spark):
     assert d.reference_rows(frame).count() == len(rows)
 
 
+def chain(*sections, start=0):
+    """A file of sections, each a function of the offset of the one before, with a pointer to the last."""
+    raw, before = bytearray(b"%PDF-1.7\n"), None
+    for make in sections:
+        at = len(raw)
+        raw += make(before)
+        before = at
+    return bytes(raw + b"startxref\n%d\n%%%%EOF" % (before + start))
+
+
+def stream_section(extra):
+    return lambda before: b"8 0 obj\n<< /Type /XRef %s%s >>\nendobj\n" % (extra, b" /Prev %d" % before if before else b"")
+
+
+def table_section(count, *entries, eol=b" \n"):
+    rows = b"".join(b"%010d 00000 %s%s" % (x, kind, eol) for x, kind in entries)
+    return lambda before: b"xref\n0 %d\n%strailer\n<< /Size 3%s >>\n" % (count, rows, b" /Prev %d" % before if before else b"")
+
+
+def test_profile_of_sections():
+    assert d.profile(chain(stream_section(b"/Size 700")))[:3] == (700, 0, 1)
+    assert d.profile(chain(stream_section(b"/Sizes 9 /Size 4 /Size 700")))[0] == 700  # the largest, and whole names only
+    assert d.profile(chain(stream_section(b"/Size 700 /Index [0 5 40 6]")))[0] == 11
+    apart = b" " * d.HEAD  # the head that is searched for /Prev ends before the next section
+    assert d.profile(chain(*(lambda before, n=n: stream_section(b"/Size %d" % n)(before) + apart for n in (50, 60, 55))))[::2] == (60, 3, 0)
+    assert d.profile(b"<< /Size 12 >> startxref\n99999\n")[:3] == (12, 0, 0)  # nothing by the chain: the whole file
+    assert d.profile(b"/Size " + b"9" * 5000)[0] == o.MOST and d.profile(b"/Length " + b"9" * 5000 + b" ")[1] == o.MOST
+    assert d.profile(b"") == (0, 0, 0, False, 0)
+
+
+def test_entries_are_judged_once():
+    good = (5, b"n")
+    past = chain(table_section(2, good, (10**9, b"n")), table_section(1, (0, b"f")))
+    assert d.profile(past) == (2, 0, 2, True, 3)
+    assert d.profile(chain(table_section(2, (10**9, b"f"), good)))[3:] == (False, 2)  # a free entry has no place
+    assert d.profile(chain(table_section(2, good, (10**9, b"n"), eol=b"\n")))[3:] == (False, 1)  # not laid out as specified
+    assert d.profile(chain(table_section(1, good, (10**9, b"n"))))[3:] == (False, 1)  # beyond the declared number
+    assert d.profile(chain(lambda _: b"\n" + table_section(2, good, good)(None)))[0] == 2  # white space before the keyword
+    exact = len(chain(table_section(1, good)))
+    assert d.profile(chain(table_section(1, (exact, b"n"))))[3] and not d.profile(chain(table_section(1, (exact - 1, b"n"))))[3]
+    twice = table_section(3, good, good, good)(None)
+    inner = b"xref\n0 1\n" + twice  # its one entry's bytes are no entry, so the table behind is judged from its own start only
+    assert d.profile(chain(lambda _: inner))[4] == 1
+    many = 3 * d.ENTRIES_AT_ONCE + 7
+    assert d.profile(chain(table_section(many, *[good] * (many - 1), (10**9, b"n"))))[3:] == (True, many)
+
+
+def test_references_of_values_and_members(spark):
+    assert d.value_references(b"<< /A 4 0 R /B [5 1 R (6 0 R)] >> 7 0 R") == [(4, 0), (5, 1)]
+    assert d.value_references(b"12 8 0 R") == [(8, 0)] and d.value_references(b"12 /A 8 0 R") == []
+    head, values = b"21 0 22 13 23 18 ", b"<</K 30 0 R>>null [31 0 R 32 0 R]"
+    rows = d.member_references(head + values, 3, len(head))
+    assert [r for r in rows if r[4] == "reference"] == [(21, 0, 30, 0, "reference"), (23, 0, 31, 0, "reference"), (23, 0, 32, 0, "reference")]
+    assert [r[4] for r in rows if r[2] is None] == ["object", "null", "object"]
+    unreadable = [(None, None, None, None, "refused:object-stream-header")]
+    assert d.member_references(b"21 x <<>>", 1, 5) == d.member_references(b"21 0 ", 2, 5) == d.member_references(b"21 90 <<>>", 1, 6) == unreadable
+    streams = spark.createDataFrame(
+        [(1, bytearray(head + values), 3, len(head)), (2, None, 3, 4), (3, bytearray(b"x"), None, 1)], "doc_id long, content binary, count long, first long"
+    )
+    got = d.member_rows(streams).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {1}
+
+
 def test_operation_rows(spark):
     frame = spark.createDataFrame([(1, 0, bytearray(b"q /F1 12 Tf Q")), (1, 1, bytearray(b"(x")), (2, 0, None)], "doc_id long, stream_id long, content binary")
     got = d.operation_rows(frame).collect()
