@@ -2,7 +2,8 @@
 
 It keeps a state stack and the two matrices of text, and yields rows (kind, ...): `glyph` with its origin, box, font, code and
 operation, or `ink` with the box of a painted path, or None where the extent is not known (images drawn by name, shadings).
-Fonts are a mapping name -> (code widths, default width, box of the font), in thousandths; forms are name -> (matrix, content).
+Fonts are a mapping name -> (code widths, default width, box of the font), in thousandths, and for composite fonts the
+bytes of a code; forms are name -> (matrix, content), and the fonts and forms of their own resources where they have any.
 """
 
 from __future__ import annotations
@@ -76,13 +77,17 @@ def _walk(raw: bytes, fonts: dict, forms: dict, ctm: tuple, path: tuple[str, ...
         nonlocal tm
         if state.font not in fonts:
             raise SyntaxRefusal("font-unknown", "Unsupported")
-        widths, usual, (l, b, r, t) = fonts[state.font]
-        for code in text:
+        widths, usual, (l, b, r, t), *more = fonts[state.font]
+        size = more[0] if more else 1
+        if len(text) % size:
+            raise SyntaxRefusal("cut-code")
+        for k in range(0, len(text), size):
+            code = int.from_bytes(text[k : k + size])
             w = widths.get(code, usual) / 1000
             whole = times((state.size * state.scale, 0, 0, state.size, 0, state.rise), times(tm, state.ctm))
             box = box_of(whole, min(0, l / 1000), min(0, b / 1000), max(w, r / 1000), t / 1000)
             yield Glyph(*placed(whole, 0, 0), box, state.font, code, at, path)
-            move = (w * state.size + state.chars + (state.words if code == 32 else 0)) * state.scale
+            move = (w * state.size + state.chars + (state.words if size == 1 and code == 32 else 0)) * state.scale
             tm = times((1, 0, 0, 1, move, 0), tm)
 
     def next_line(x: float, y: float) -> None:
@@ -162,8 +167,9 @@ def _walk(raw: bytes, fonts: dict, forms: dict, ctm: tuple, path: tuple[str, ...
                     raise SyntaxRefusal("form-cycle")
                 if len(path) >= MOST_FORMS_DEEP or drawn[0] > MOST_FORMS:
                     raise SyntaxRefusal("forms-too-many", "Unsupported")
-                matrix, content = forms[form]
-                yield from _walk(content, fonts, forms, times(matrix, state.ctm), (*path, form), drawn)
+                matrix, content, *own = forms[form]
+                inner = [*own, *(fonts, forms)[len(own) :]]
+                yield from _walk(content, *inner, times(matrix, state.ctm), (*path, form), drawn)
         except (IndexError, ValueError) as wrong:
             if isinstance(wrong, SyntaxRefusal):
                 raise

@@ -125,6 +125,31 @@ def shown_positions(codes: DataFrame) -> DataFrame:
     return codes.withColumn("x", F.coalesce(F.sum("move").over(before), F.lit(0.0)))
 
 
+def in_scope(uses: DataFrame, resources: DataFrame, names: list[str]) -> DataFrame:
+    """uses (doc_id, page_no, form, *names) with what the names mean there: a form's own resources, else the page's.
+
+    resources: rows (doc_id, page_no, form, *names, ...), form null for the page's. A form that has any resources of its own
+    (rows with its name) never falls back to the page. Names that mean nothing there get an error. Form streams repeat on
+    few pages and a use asks one scope, so each row meets one row of resources at most.
+    """
+    key = [*PAGE, "_scope"]
+    own = resources.where("form is not null").select(*PAGE, "form").distinct().withColumn("_own", F.lit(True))
+    asked = uses.join(own, [*PAGE, "form"], "left").withColumn("_scope", F.when(F.col("_own"), F.col("form")).otherwise("")).drop("_own")
+    held = resources.withColumn("_scope", F.coalesce("form", F.lit(""))).drop("form").withColumn("_there", F.lit(True))
+    found = asked.join(held, [*key, *names], "left")
+    return found.withColumn("error", o.refused(F.col("_there").isNull(), "Unsupported", "unknown-resource")).drop("_scope", "_there")
+
+
+def code_widths(codes: DataFrame, widths: DataFrame, standard: DataFrame) -> DataFrame:
+    """codes (doc_id, font, base, code) with `width`: the font's own (doc_id, font, code, width), else the standard one.
+
+    standard: a dimension table (base, code, width) that the caller has; a font without either gets an error.
+    """
+    known = codes.join(widths.withColumnRenamed("width", "_own"), ["doc_id", "font", "code"], "left")
+    known = known.join(standard.withColumnRenamed("width", "_usual"), ["base", "code"], "left").withColumn("width", F.coalesce("_own", "_usual"))
+    return known.withColumn("error", o.refused(F.col("width").isNull(), "Unsupported", "unknown-width")).drop("_own", "_usual")
+
+
 def removed_annotations(annotations: DataFrame, regions: DataFrame) -> DataFrame:
     """Annotations (doc_id, page_no, annotation, left .. top) in a region; their dependants follow by trees.closure."""
     hit = annotations.join(regions, PAGE).where(g.intersects(box_of(), F.col("region")))

@@ -796,4 +796,4 @@ def used_names(spark, d):
     return trees.reach(edges.select("doc_id", F.col("src").alias("node")), edges)
 
 
-from . import more_queries  # noqa: E402, F401  (registers its own)
+from . import byte_queries, more_queries  # noqa: E402, F401  (register their own)

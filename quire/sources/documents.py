@@ -7,8 +7,8 @@ documents is out of reach of this library. Bytes that cannot be read give an err
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,21 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> D
     )
 
 
+def content_rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Rows (*columns, content as bytes or None)."""
+    for batch in batches:
+        others = (batch.column(c).to_pylist() for c in columns)
+        for *held, x in zip(*others, batch.column("content"), strict=True):
+            yield *held, x.as_buffer().to_pybytes() if x.is_valid else None
+
+
+def batched(groups: Iterable[Iterable[tuple]], fields: dict[str, pa.DataType], most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The groups' rows in batches of `most` rows."""
+    rows = chain.from_iterable(groups)
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*held, strict=True), fields.values(), strict=True)], list(fields))
+
+
 def _number(digits: bytes) -> int:
     """Digits as a number that stays at the largest BIGINT."""
     return int(digits) if len(digits.lstrip(b"0")) <= 18 else MOST
@@ -210,16 +225,14 @@ REFERENCES = "src long, src_gen long, num long, gen long, kind string"
 def _reference_rows(frame: DataFrame, read: Callable[..., list[tuple]], *arguments: str) -> DataFrame:
     """The rows that `read` finds in (content, *arguments), next to doc_id; none where one of them is null."""
 
+    fields = dict.fromkeys(("doc_id", "src", "src_gen", "num", "gen"), pa.int64()) | {"kind": pa.string()}
+
+    def found(row: tuple) -> list[tuple]:
+        doc, *given, raw = row
+        return [] if raw is None or None in given else [(doc, *x) for x in read(raw, *given)]
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        for batch in batches:
-            more = (batch.column(c).to_pylist() for c in arguments)
-            for doc, x, *given in zip(batch.column("doc_id").to_pylist(), batch.column("content"), *more, strict=True):
-                rows = read(x.as_buffer().to_pybytes(), *given) if x.is_valid and None not in given else []
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(rows), pa.int64()), *columns], ["doc_id", "src", "src_gen", "num", "gen", "kind"]
-                )
+        yield from batched(map(found, content_rows(batches, "doc_id", *arguments)), fields)
 
     return frame.select("doc_id", "content", *arguments).mapInArrow(part, f"doc_id long, {REFERENCES}")
 
@@ -237,23 +250,19 @@ def member_rows(streams: DataFrame) -> DataFrame:
 def operation_rows(streams: DataFrame, strict: bool = False) -> DataFrame:
     """streams (doc_id, stream_id, content) -> operations with byte spans; a refused stream gives one row with its rule."""
     schema = "doc_id long, stream_id long, op_ord long, operator string, operands array<string>, first long, last long, rule string"
+    fields = dict.fromkeys(("doc_id", "stream_id", "op_ord"), pa.int64()) | {"operator": pa.string(), "operands": pa.list_(pa.string())}
+    fields |= {"first": pa.int64(), "last": pa.int64(), "rule": pa.string()}
+
+    def found(row: tuple) -> list[tuple]:
+        doc, stream, raw = row
+        try:
+            read = enumerate(s.operations(raw or b"", strict))
+            return [(doc, stream, k, op.operator.decode("latin-1"), [t.value.decode("latin-1") for t in op.operands], op.start, op.end, None) for k, op in read]
+        except s.SyntaxRefusal as refusal:
+            return [(doc, stream, *(None,) * 5, refusal.rule)]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, stream, x in zip(*(batch.column(c) for c in ("doc_id", "stream_id", "content")), strict=True):
-                raw, rows = x.as_buffer().to_pybytes() if x.is_valid else b"", []
-                try:
-                    for k, op in enumerate(s.operations(raw, strict)):
-                        operands = [t.value.decode("latin-1") for t in op.operands]
-                        rows.append((k, op.operator.decode("latin-1"), operands, op.start, op.end, None))
-                except s.SyntaxRefusal as refusal:
-                    rows = [(None, None, None, None, None, refusal.rule)]
-                kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string())
-                head = [pa.array([i.as_py()] * len(rows), pa.int64()) for i in (doc, stream)]
-                yield pa.RecordBatch.from_arrays(
-                    [*head, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))],
-                    ["doc_id", "stream_id", "op_ord", "operator", "operands", "first", "last", "rule"],
-                )
+        yield from batched(map(found, content_rows(batches, "doc_id", "stream_id")), fields)
 
     return streams.select("doc_id", "stream_id", "content").mapInArrow(part, schema)
 
@@ -290,12 +299,13 @@ def glyph_rows(streams: DataFrame, fonts: dict, forms: dict | None = None) -> Da
     from ..functions.content import Glyph, walk
 
     schema = "doc_id long, page_no long, kind string, glyph_ord long, left double, bottom double, right double, top double, x double, y double, font string, code long, op_ord long, rule string"
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.split()[1]] for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    fields = {name: kinds[kind] for name, kind in map(str.split, schema.split(", "))}
 
-    def rows(doc, page, raw) -> Iterator[tuple]:
+    def found(row: tuple) -> Iterator[tuple]:
+        doc, page, raw = row
         try:
-            for k, g in enumerate(walk(raw, fonts, forms)):
+            for k, g in enumerate(walk(raw or b"", fonts, forms)):
                 box = g.box or (None,) * 4
                 if isinstance(g, Glyph):
                     yield (doc, page, "glyph", k, *box, g.x, g.y, g.font, g.code, g.op_ord, None)
@@ -305,9 +315,6 @@ def glyph_rows(streams: DataFrame, fonts: dict, forms: dict | None = None) -> Da
             yield (doc, page, "refused", None, *(None,) * 9, refusal.rule)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, page, x in zip(*(batch.column(c) for c in ("doc_id", "page_no", "content")), strict=True):
-                found = list(rows(doc.as_py(), page.as_py(), x.as_buffer().to_pybytes() if x.is_valid else b""))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names)
+        yield from batched(map(found, content_rows(batches, "doc_id", "page_no")), fields)
 
     return streams.select("doc_id", "page_no", "content").mapInArrow(part, schema)

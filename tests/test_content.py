@@ -30,6 +30,24 @@ def test_forms():
             list(c.walk(raw, FONTS, forms))
 
 
+def test_own_resources_of_forms():
+    narrow = {"F1": ({65: 100}, 600, (0, -200, 700, 800))}
+    text = b"BT /F1 10 Tf (AA) Tj ET /Y Do"
+    forms = {"own": (c.IDENTITY, text, narrow, {}), "none": (c.IDENTITY, text), "Y": (c.IDENTITY, b"0 0 1 1 re f")}
+    first, second, outside = c.walk(b"/own Do", FONTS, forms)
+    assert (first.x, second.x) == (0, 1) and outside.path == ("own",)  # Y is no form there
+    first, second, inside = c.walk(b"/none Do", FONTS, forms)
+    assert (first.x, second.x) == (0, 5) and inside.path == ("none", "Y")
+
+
+def test_codes_of_two_bytes():
+    fonts = {"C": ({0x0020: 500, 0x4142: 250}, 1000, (0, -100, 1000, 900), 2)}
+    got = [(round(x.x, 6), x.code) for x in c.walk(b"BT /C 10 Tf 7 Tw <00204142> Tj <0021> Tj ET", fonts)]
+    assert got == [(0, 0x20), (5, 0x4142), (7.5, 0x21)]  # no word spacing for a space of two bytes
+    with pytest.raises(SyntaxRefusal, match="cut-code"):
+        list(c.walk(b"BT /C 10 Tf (ABC) Tj ET", fonts))
+
+
 def test_colours():
     raw = bytes([1, 2, 3, 4, 5, 6, 7, 8, 0, 0, 9, 10, 11, 12, 13, 14, 15, 16, 0, 0])
     assert c.rgba(raw, 2, 2, 10) == bytes([3, 2, 1, 4, 7, 6, 5, 8, 11, 10, 9, 12, 15, 14, 13, 16])

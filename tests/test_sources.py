@@ -138,3 +138,13 @@ def test_empty_tables_and_limits(spark):
     assert p.structure_check(none).count() == 0 and p.split_every(none, 0)[0].count() == 0
     big = spark.range(1).select(o.saturating_sum(F.lit(o.MOST), F.lit(5)).alias("x")).first().x
     assert big == o.MOST
+
+
+def test_parsed_rows_refuse_and_skip_nulls(spark):
+    from quire.sources import parsed
+
+    frame = spark.createDataFrame([(1, bytearray(b"(a")), (2, None), (3, bytearray(b""))], "doc_id long, content binary")
+    assert [tuple(r) for r in parsed.numbers(frame).collect()] == [(1, None, None, "unclosed-string")]
+    assert [r.rule for r in parsed.names(frame).collect()] == ["unclosed-string"]
+    assert parsed.dictionary_keys(frame.where("doc_id > 1")).count() == 0
+    assert d.operation_rows(frame.withColumn("stream_id", F.lit(0).cast("long"))).where("rule is not null").count() == 1
