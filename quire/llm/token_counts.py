@@ -5,7 +5,7 @@ before the shuffle), and suffix and prefix sums over the histogram answer, for e
 document's length: how many documents fit, how many tokens stay if every document is truncated to L, how many are cut.
 `totals_at` and `quantiles` read the same histogram for any other limit or share, so one scan serves all questions.
 
-The histogram has one row per distinct length. Its running sums are taken in two levels (blocks of 1,024 lengths, then
+The histogram has one row per distinct length. Its running sums are taken in two levels (blocks of 64 lengths, then
 the blocks' totals), so no task holds more than a block or the list of blocks.
 
 The vocabulary is a file of byte-pair ranks; the driver reads it and broadcasts its bytes (bounded by `most_bytes`).
@@ -31,7 +31,7 @@ from .common import stored, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenising pattern that belongs to this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoding(vocabulary: bytes, pattern: str = PATTERN):
