@@ -83,9 +83,9 @@ def edits_error(text: Column, edits: Column) -> Column:
     ordered = F.array_sort(edits)
     pairs = F.transform(ordered, lambda e, i: F.struct(e["start"].alias("start"), F.when(i > 0, F.get(ordered, i - 1)["end"]).alias("before")))
     return first_error(
-        refused(F.exists(edits, lambda e: e["end"] < e["start"]), "InvalidArgument", "edit-backwards"),
-        refused(F.exists(edits, lambda e: (e["start"] < 0) | (e["end"] > F.length(text))), "InvalidArgument", "edit-outside"),
-        refused(F.exists(pairs, lambda p: p["start"] < p["before"]), "InvalidArgument", "edits-overlap"),
+        refused(F.exists(edits, lambda e: e["end"] < e["start"]), "Malformed", "edit-backwards"),
+        refused(F.exists(edits, lambda e: (e["start"] < 0) | (e["end"] > F.length(text))), "Malformed", "edit-outside"),
+        refused(F.exists(pairs, lambda p: p["start"] < p["before"]), "Malformed", "edits-overlap"),
     )
 
 
@@ -109,6 +109,51 @@ def located(positions: DataFrame, parts: DataFrame, key: str, order: str, size:
     return both.where("_kind = 1").select(key, "offset", "part", (F.col("offset") - F.col("_start")).alias("local"))
 
 
+def spliced(parts: DataFrame, edits: DataFrame, key: str, order: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """parts with the edits of their key's concatenation applied, each in the part that it belongs to, and rows (key, error).
+
+    parts: rows (key, order, text, ...), joined with one separator; edits: rows (key, ord, start, end, text), offsets of
+    characters from 0, in the order of ord. An insertion belongs to the part that holds its place or ends there. A deletion
+    may cross parts; a replacement may not. Edits that overlap, run backwards, reach outside or change nothing refuse all of
+    their key's, whose parts are not in the result. Only the edited parts' keys meet the edits; a crossing deletion is dealt
+    over the parts from its first to its last.
+    """
+    numbered = parts.withColumns({"_at": F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, "_size": F.length(text)})
+    starts = offsets(numbered.select(key, "_at", "_size"), key, "_at", F.col("_size"))
+    whole = starts.groupBy(key).agg(F.max(F.col("start") + F.col("_size")).alias("_whole"))
+    inserts = F.col("start") == F.col("end")
+    places = edits.select(key, F.explode(F.array("start", F.when(inserts, F.col("end")).otherwise(F.col("end") - 1))).alias("offset")).distinct()
+    sizes = starts.select(key, F.col("_at").alias("part"), F.col("_size").alias("_n"))
+    places = located(places, starts.drop("start"), key, "_at", F.col("_size")).join(sizes, [key, "part"])
+    held = F.struct("part", (F.col("local") < F.col("_n")).alias("inside"), (F.col("local") <= F.col("_n")).alias("at_end"))
+    places = places.select(key, "offset", held.alias("_place"))
+    first = places.select(key, F.col("offset").alias("start"), F.col("_place").alias("_opens"))
+    last = places.select(key, F.col("offset").alias("_last"), F.col("_place").alias("_closes"))
+    known = edits.withColumn("_last", F.when(inserts, F.col("end")).otherwise(F.col("end") - 1))
+    known = known.join(first, [key, "start"], "left").join(last, [key, "_last"], "left").join(whole, key, "left")
+    before = F.max("end").over(Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    opens, closes, blank = F.coalesce("_opens.inside", F.lit(False)), F.coalesce("_closes.inside", F.lit(False)), F.col("text") == ""
+    across = ~opens | ~closes | (F.col("_opens.part") != F.col("_closes.part"))
+    error = first_error(
+        refused(F.col("end") < F.col("start"), "Malformed", "edit-backwards"),
+        refused((F.col("start") < 0) | (F.col("end") > F.coalesce("_whole", F.lit(-1))), "Malformed", "edit-outside"),
+        refused(F.col("start") < before, "Malformed", "edits-overlap"),
+        refused(F.when(inserts, blank).otherwise(~opens & ~closes), "Malformed", "edit-changes-nothing"),
+        refused(inserts & ~F.coalesce("_opens.at_end", F.lit(False)), "Malformed", "edit-outside"),
+        refused(~inserts & ~blank & across, "Malformed", "edit-across-parts"),
+    )
+    judged = known.withColumn("error", error)
+    wrong = judged.where("error is not null").groupBy(key).agg(F.min_by("error", "ord").alias("error"))
+    over = judged.select(key, "ord", "start", "end", "text", F.explode(F.sequence("_opens.part", "_closes.part")).alias("_at"))
+    mine = over.join(starts.withColumnRenamed("start", "_from"), [key, "_at"])
+    clipped = (F.greatest(F.col("start") - F.col("_from"), F.lit(0)), F.least(F.col("end") - F.col("_from"), F.col("_size")))
+    edit = F.struct(clipped[0].cast("int").alias("start"), F.greatest(*clipped).cast("int").alias("end"), "ord", "text")
+    lists = mine.groupBy(key, "_at").agg(F.collect_list(edit).alias("_edits"))
+    good = numbered.join(wrong, key, "left_anti").join(lists, [key, "_at"], "left")
+    edited = F.when(F.col("_edits").isNull(), F.col(text)).otherwise(apply_edits(F.col(text), F.col("_edits")))
+    return good.withColumn(text, edited).select(parts.columns), wrong
+
+
 def spellings(needle: Column) -> Column:
     """A needle as it may stand in a file: raw, and as hexadecimal UTF-16 in either case."""
     wide = F.hex(F.encode(needle, "UTF-16BE"))

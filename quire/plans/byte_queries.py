@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import redaction as r
 from ..sources import documents, parsed
 from .queries import long, query, rule
@@ -132,3 +133,32 @@ def code_widths(spark, d):
     own = codes.where("font = 'F0'").select("doc_id", "font", "code").distinct().withColumn("width", 1000 + F.col("code") % 7)
     standard = spark.range(126).selectExpr("concat('Base', id DIV 42) AS base", "id % 42 AS code", "id DIV 42 * 50 + id % 42 % 6 AS width")
     return r.code_widths(codes, own, standard).select("doc_id", "at", "width", F.col("error.rule").alias("rule"))
+
+
+CHOSEN = """c AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN length(text) END) AS n, max(CASE WHEN turn = 1 THEN length(text) END) AS m FROM conversations GROUP BY conv_id),
+chosen AS (SELECT conv_id, n, conv_id % 9 AS kind FROM c WHERE n >= 20 AND m >= 5)"""
+
+
+def _spliced(spark, d):
+    talk = load(spark, d, "conversations")
+    size = lambda k: F.max(F.when(F.col("turn") == k, F.length("text")))
+    chosen = talk.groupBy("conv_id").agg(size(0).alias("n"), size(1).alias("m")).where("n >= 20 and m >= 5")
+    wrong = """CASE conv_id % 9 WHEN 0 THEN named_struct('ord', 1, 'start', 7, 'end', 6, 'text', '') WHEN 1 THEN named_struct('ord', 1, 'start', 7, 'end', 1000000, 'text', '')
+      WHEN 2 THEN named_struct('ord', 1, 'start', 4, 'end', 8, 'text', '') WHEN 3 THEN named_struct('ord', 1, 'start', n, 'end', n + 1, 'text', 'q')
+      WHEN 4 THEN named_struct('ord', 1, 'start', n - 2, 'end', n + 2, 'text', 'q') WHEN 5 THEN named_struct('ord', 1, 'start', 9, 'end', 9, 'text', '') END"""
+    right = """named_struct('ord', 0, 'start', 3, 'end', 5, 'text', '[a]'), named_struct('ord', 2, 'start', n - 2, 'end', n + 3, 'text', ''),
+      named_struct('ord', 3, 'start', n + 3, 'end', n + 3, 'text', '[b]'), named_struct('ord', 4, 'start', n + 3, 'end', n + 3, 'text', '[A]')"""
+    edits = chosen.selectExpr("conv_id", f"inline(array_compact(array({right}, {wrong})))")
+    return t.spliced(talk.join(chosen, "conv_id", "left_semi"), edits, "conv_id", "turn", "text")
+
+
+@query(f"""WITH {CHOSEN} SELECT conv_id, turn, CASE turn WHEN 0 THEN substr(text, 1, 3) || '[a]' || substr(text, 6, n - 7) WHEN 1 THEN '[b][A]' || substr(text, 3) ELSE text END AS text
+FROM conversations JOIN chosen USING (conv_id) WHERE kind > 5""")
+def spliced_parts(spark, d):
+    return _spliced(spark, d)[0].select("conv_id", "turn", "text")
+
+
+@query(f"""WITH {CHOSEN} SELECT conv_id, CASE kind WHEN 0 THEN 'edit-backwards' WHEN 1 THEN 'edit-outside' WHEN 2 THEN 'edits-overlap' WHEN 4 THEN 'edit-across-parts' ELSE 'edit-changes-nothing' END AS rule
+FROM chosen WHERE kind <= 5""")
+def splice_refusals(spark, d):
+    return _spliced(spark, d)[1].select("conv_id", rule(F.col("error")).alias("rule"))
