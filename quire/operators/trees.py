@@ -105,6 +105,35 @@ def reach(sources: DataFrame, edges: DataFrame, most_levels: int = 10_000) -> Da
     raise RuntimeError(f"a closure did not end in {most_levels} levels")
 
 
+#: The deepest nesting of streams that is followed, and the most streams of a document that are read.
+MOST_NESTED, MOST_STREAMS = 16, 16_384
+
+
+def names_used(pages: DataFrame, names: DataFrame, resources: DataFrame, most_nested: int = MOST_NESTED, most_streams: int = MOST_STREAMS) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, page, name) that a page's streams use, those of the streams that they name included; and (doc_id, error).
+
+    pages: rows (doc_id, page, stream), a page's own content and its annotations' appearances; names: rows (doc_id, stream, name)
+    as the streams' content spells them; resources: rows (doc_id, name, stream), stream null for what is no content, which is
+    not followed. A document whose streams nest deeper or are more than the bounds is refused and has no rows.
+    """
+    links = resources.where("stream is not null").select("doc_id", "name", F.col("stream").alias("_to")).distinct()
+    links = checkpointed(names.join(links, ["doc_id", "name"]).select("doc_id", "stream", F.col("_to")).distinct())
+    known = fresh = checkpointed(pages.select("doc_id", "page", "stream").distinct())
+    for _ in range(most_nested + 1):
+        step = fresh.join(links, ["doc_id", "stream"]).select("doc_id", "page", F.col("_to").alias("stream")).distinct()
+        fresh = checkpointed(step.join(known, ["doc_id", "page", "stream"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        known = checkpointed(known.union(fresh))
+    deep = fresh.select("doc_id").distinct().withColumn("error", o.error("Unsupported", "streams-too-deep"))
+    followed = known.join(pages, ["doc_id", "page", "stream"], "left_anti").select("doc_id", "stream").distinct()
+    many = followed.groupBy("doc_id").count().where(F.col("count") > most_streams).select("doc_id")
+    many = many.join(deep, "doc_id", "left_anti").withColumn("error", o.error("Unsupported", "streams-too-many"))
+    wrong = deep.unionByName(many)
+    used = known.join(names, ["doc_id", "stream"]).select("doc_id", "page", "name").distinct()
+    return used.join(wrong, "doc_id", "left_anti"), wrong
+
+
 def use_counts(base: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Rows (doc_id, node, uses, settled): uses = base + sum over parents of uses * refs, to a fixpoint.
 

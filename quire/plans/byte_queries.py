@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import redaction as r
+from ..operators import trees
 from ..sources import documents, parsed
 from .queries import long, query, rule
 from .standin import load
@@ -162,3 +163,31 @@ def spliced_parts(spark, d):
 FROM chosen WHERE kind <= 5""")
 def splice_refusals(spark, d):
     return _spliced(spark, d)[1].select("conv_id", rule(F.col("error")).alias("rule"))
+
+
+# A document is 64 parts. Its pages are the streams 0 to 3; a stream k names N(k + 4), and N(3 k) too; the name Nk is stream k, or
+# nothing but a picture where k is a multiple of 5 or, in two documents of three, from 40 or 30 on, so that its chains end sooner.
+STREAMS = """s AS (SELECT p_partkey // 64 AS doc_id, p_partkey % 64 AS k FROM part),
+n AS (SELECT doc_id, k, k + 4 AS name FROM s UNION SELECT doc_id, k, 3 * k FROM s),
+l AS (SELECT DISTINCT n.doc_id, n.k, n.name AS dst FROM n JOIN s ON s.doc_id = n.doc_id AND s.k = n.name WHERE name % 5 > 0 AND name < [40, 30, 64][n.doc_id % 3 + 1]),
+w AS (SELECT doc_id, k AS page, k AS stream, 0 AS depth FROM s WHERE k < 4 UNION SELECT w.doc_id, w.page, l.dst, w.depth + 1 FROM w JOIN l ON l.doc_id = w.doc_id AND l.k = w.stream WHERE depth < 8),
+m AS (SELECT doc_id, page, stream, min(depth) AS depth FROM w GROUP BY ALL),
+bad AS (SELECT doc_id, max(depth) > 5 AS deep, count(DISTINCT CASE WHEN stream >= 4 THEN stream END) AS streams FROM m GROUP BY doc_id)"""
+
+
+def _names_used(spark, d):
+    part = load(spark, d, "part").selectExpr("p_partkey DIV 64 AS doc_id", "p_partkey % 64 AS stream")
+    names = part.selectExpr("doc_id", "stream", "explode(array_distinct(array(stream + 4, 3 * stream))) AS k").selectExpr("doc_id", "stream", "concat('N', k) AS name")
+    content = "stream % 5 > 0 AND stream < get(array(40, 30, 64), CAST(doc_id % 3 AS INT))"
+    resources = part.selectExpr("doc_id", "concat('N', stream) AS name", f"CASE WHEN {content} THEN stream END AS stream")
+    return trees.names_used(part.where("stream < 4").selectExpr("doc_id", "stream AS page", "stream"), names, resources, 5, 22)
+
+
+@query(f"""WITH RECURSIVE {STREAMS} SELECT DISTINCT m.doc_id, page, 'N' || name AS name FROM m JOIN bad USING (doc_id) JOIN n ON n.doc_id = m.doc_id AND n.k = m.stream WHERE NOT deep AND streams <= 22""")
+def names_used(spark, d):
+    return _names_used(spark, d)[0].select("doc_id", "page", "name")
+
+
+@query(f"""WITH RECURSIVE {STREAMS} SELECT doc_id, CASE WHEN deep THEN 'streams-too-deep' ELSE 'streams-too-many' END AS rule FROM bad WHERE deep OR streams > 22""")
+def stream_refusals(spark, d):
+    return _names_used(spark, d)[1].select("doc_id", rule(F.col("error")).alias("rule"))
