@@ -50,6 +50,34 @@ def cuts_by_operation(cut: DataFrame, shown: DataFrame) -> DataFrame:
     return known.select(*key, "codes", o.refused(short, "Internal", "cut-count").alias("error"))
 
 
+def rewritten(items: DataFrame, cut: DataFrame, operations: DataFrame) -> DataFrame:
+    """Rows (doc_id, stream_id, op_ord, content, error): each showing operation with a cut glyph as one TJ without it.
+
+    items: what an operation shows, in the order of `item`: rows (doc_id, stream_id, op_ord, item, glyph_ord, code, move), a
+    glyph with its code in hexadecimal and the adjustment that moves as far as it does, or a number of the array, glyph_ord
+    null, as the move. cut: rows (doc_id, stream_id, op_ord, glyph_ord). operations: rows (doc_id, stream_id, op_ord, operator,
+    word, char), the last two the spacings that a double quote sets. What ' and " do besides showing stands before the TJ.
+    Content is null where refused.
+    """
+    key = ["doc_id", "stream_id", "op_ord"]
+    gone = cut.select(*key, "glyph_ord").distinct().withColumn("_cut", F.lit(True))
+    wanted = gone.groupBy(*key).agg(F.count("*").alias("_wanted"))
+    marked = items.join(wanted.select(key), key, "left_semi").join(gone, [*key, "glyph_ord"], "left")
+    kept = F.col("glyph_ord").isNotNull() & F.col("_cut").isNull()
+    piece = F.struct("item", F.when(kept, F.concat(F.lit("<"), "code", F.lit(">"))).otherwise(F.col("move").cast("string")).alias("text"))
+    shown = marked.groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("_pieces"), F.count("_cut").alias("_found"))
+    known = wanted.join(operations, key, "left").join(shown, key, "left")
+    error = o.first_error(
+        o.refused(~F.coalesce(F.col("operator").isin("Tj", "TJ", "'", '"'), F.lit(False)), "Malformed", "glyph-without-its-operation"),
+        o.refused(F.coalesce("_found", F.lit(0)) < F.col("_wanted"), "Internal", "cut-count"),
+    )
+    spacing = F.concat_ws(" ", F.col("word").cast("string"), F.lit("Tw"), F.col("char").cast("string"), F.lit("Tc T* "))
+    prefix = F.when(F.col("operator") == "'", "T* ").when(F.col("operator") == '"', spacing).otherwise("")
+    array = F.replace(F.array_join(F.col("_pieces.text"), " "), F.lit("> <"), F.lit(""))  # neighbours that stay are one string
+    content = F.when(F.col("error").isNull(), F.concat(prefix, F.lit("["), array, F.lit("] TJ")))
+    return known.withColumn("error", error).select(*key, content.alias("content"), "error")
+
+
 def marked_depth(operations: DataFrame) -> DataFrame:
     """operations with `depth`, the marked-content depth before each: BDC and BMC add one, EMC takes one, never below 0."""
     step = F.when(F.col("operator").isin("BDC", "BMC"), 1).when(F.col("operator") == "EMC", -1).otherwise(0)

@@ -191,3 +191,23 @@ def names_used(spark, d):
 @query(f"""WITH RECURSIVE {STREAMS} SELECT doc_id, CASE WHEN deep THEN 'streams-too-deep' ELSE 'streams-too-many' END AS rule FROM bad WHERE deep OR streams > 22""")
 def stream_refusals(spark, d):
     return _names_used(spark, d)[1].select("doc_id", rule(F.col("error")).alias("rule"))
+
+
+@query("""WITH o AS (SELECT l_orderkey AS doc_id, l_linenumber AS op_ord, max(l_partkey) AS k, max(l_suppkey) % 3 AS s FROM lineitem GROUP BY ALL),
+l AS (SELECT *, ['Tj', 'TJ', '''', '"', 'f'][k % 5 + 1] AS operator FROM o),
+i AS (SELECT l.*, t.i, chr(CAST(65 + (k + t.i) % 26 AS INTEGER)) AS c, t.i % 4 = s AS gone FROM l, range(6) t(i) WHERE operator <> 'f'),
+a AS (SELECT doc_id, op_ord, k, operator, string_agg(CASE WHEN gone THEN CAST(-500 - i AS VARCHAR) ELSE '<' || hex(c) || '>' END || CASE WHEN i = 3 AND operator = 'TJ' THEN ' 120' ELSE '' END, ' ' ORDER BY i) AS x
+  FROM i GROUP BY ALL)
+SELECT doc_id, op_ord, CASE operator WHEN '''' THEN 'T* ' WHEN '"' THEN '5 Tw ' || k % 7 || ' Tc T* ' ELSE '' END || '[' || replace(x, '> <', '') || '] TJ' AS content, NULL AS rule FROM a WHERE k % 11 <> 0
+UNION ALL SELECT doc_id, op_ord, NULL, CASE WHEN operator = 'f' THEN 'glyph-without-its-operation' ELSE 'cut-count' END FROM l WHERE operator = 'f' OR k % 11 = 0""")
+def rewritten_operations(spark, d):
+    key = ["doc_id", "stream_id", "op_ord"]
+    items = load(spark, d, "lineitem").selectExpr("l_orderkey AS doc_id", "0L AS stream_id", "l_linenumber AS op_ord", "l_partkey", "l_suppkey")
+    lines = items.groupBy(key).agg(F.max("l_partkey").alias("k"), (F.max("l_suppkey") % 3).alias("s"))  # line numbers repeat in an order
+    lines = lines.withColumn("operator", F.get(F.array(*map(F.lit, ("Tj", "TJ", "'", '"', "f"))), (F.col("k") % 5).cast("int")))
+    each = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    shown = each.selectExpr(*key, "2 * i AS item", "i AS glyph_ord", "hex(char(65 + (k + i) % 26)) AS code", "-500 - i AS move")
+    kerns = each.where("i = 3 AND operator = 'TJ'").selectExpr(*key, "2 * i + 1 AS item", "CAST(NULL AS INT) AS glyph_ord", "CAST(NULL AS STRING) AS code", "120 AS move")
+    cut = each.where("i % 4 = s").selectExpr(*key, "i AS glyph_ord").union(lines.where("k % 11 = 0").selectExpr(*key, "99 AS glyph_ord"))
+    found = r.rewritten(shown.union(kerns), cut, lines.selectExpr(*key, "operator", "5 AS word", "k % 7 AS char"))
+    return found.select("doc_id", "op_ord", "content", rule(F.col("error")).alias("rule"))
